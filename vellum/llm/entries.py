@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import bpe
+from vellum.llm import bpe, rans, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_rans_tokens": rans.op7_rans_tokens,
     "op9_byte_bpe": bpe.op9_byte_bpe,
+    "op10_simhash": simhash.op10_simhash,
 }
 ORACLES: dict[str, str] = {}
