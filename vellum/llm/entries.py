@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import bpe, rans, simhash
+from vellum.llm import bpe, langcrf, quality, rans, rules, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hash_tree": sharding.op1_hash_tree,
+    "op3_language_crf": langcrf.op3_language_crf,
+    "op4_ngram_ratio": rules.op4_ngram_ratio,
+    "op5_quality_net": quality.op5_quality_net,
     "op7_rans_tokens": rans.op7_rans_tokens,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_simhash": simhash.op10_simhash,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_hash_tree": sharding.oracle()}

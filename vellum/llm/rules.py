@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm import job
 
-BUCKETS, TAIL, ALPHA, TRUSTED, THRESHOLD = 1 << 14, 4, 2000.0, 20_000, -0.25
+BUCKETS, TAIL, ALPHA, TRUSTED, THRESHOLD = 1 << 14, 4, 2000.0, 20_000, -0.5
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 
