@@ -15,7 +15,7 @@ def test_context_vectors_against_a_plain_loop(spark):
     place, sign = quality.index_vectors()
     want = np.zeros((quality.WORDS, quality.DIM))
     for t in texts:
-        ids = quality.word_ids(text.units(pa.array([t]))).tolist()
+        ids = quality.word_ids(text.units(pa.array([t], pa.string()))).tolist()
         for i, w in enumerate(ids):
             for j in range(max(0, i - quality.WINDOW), min(len(ids), i + quality.WINDOW + 1)):
                 if j != i:

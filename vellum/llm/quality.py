@@ -140,7 +140,7 @@ def pooled(col: pa.Array, vectors: np.ndarray) -> np.ndarray:
         out[d[first], DIM:2 * DIM] += np.add.reduceat(v * v, first, axis=0)
         for k in range(_CLASSES):
             out[d[first], 2 * DIM + k] += np.add.reduceat((i == k).astype(np.float32), first)
-    return out / np.maximum(size, 1)[:, None]
+    return out / np.maximum(size, 1).astype(np.float32)[:, None]
 
 
 @dataclass
