@@ -46,39 +46,41 @@ def signatures(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if not len(c.codes):
         return out, size > 0
     h = text.hash_pieces(c.pieces)
-    doc = c.docs.astype(np.uint64)
-    word = _distinct(doc, h[c.codes])
+    doc = c.docs
+    word = np.sort(doc * len(c.pieces) + c.codes)
+    word = word[np.diff(word, prepend=-1) > 0]
+    word_doc, word = word // len(c.pieces), h[word % len(c.pieces)]
     same = doc[1:] == doc[:-1]
     with np.errstate(over="ignore"):
         pair = text.mix64(h[c.codes[:-1]] * np.uint64(3) + h[c.codes[1:]], 9)[same]
-    pair = _distinct(doc[1:][same], pair)
-    one, _ = _sums(*word, n, 0)
-    own, _ = _sums(*word, n, 4)
-    two, _ = _sums(*pair, n, 4)
-    out[:, :4], out[:, 4:] = _pack(one), _pack(own + two)
+    # A pair is its document and 40 bits of hash in one number, so that one sort finds the distinct ones.
+    pair = np.sort(doc[1:][same].astype(np.uint64) << np.uint64(40) | pair >> np.uint64(24))
+    pair = pair[np.diff(pair, prepend=pair[:1] + np.uint64(1)) != 0] if len(pair) else pair
+    own = _sums(word_doc, word, n, 4)
+    out[:, :4] = _pack(_sums(word_doc, word, n, 0))
+    out[:, 4:] = _pack(own + _sums((pair >> np.uint64(40)).astype(np.int64), pair & np.uint64((1 << 40) - 1), n, 4))
     return out, size > 0
 
 
-def _distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(h, kind="stable")
-    order = order[np.argsort(doc[order], kind="stable")]
-    doc, h = doc[order], h[order]
-    keep = np.ones(len(h), bool)
-    keep[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
-    return doc[keep], h[keep]
+#: For each byte value, its eight bits as eight counters of one byte, the first bit in the first byte.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 
 
-def _sums(doc: np.ndarray, h: np.ndarray, n: int, seed: int, step: int = 200_000) -> tuple[np.ndarray, None]:
-    """For each document, for each of 256 bits, features with that bit less those without."""
+def _sums(doc: np.ndarray, h: np.ndarray, n: int, seed: int, step: int = 65_536) -> np.ndarray:
+    """For each document (sorted), for each of 256 bits, features with that bit less those without.
+    Up to 255 features are added in packed one-byte counters, then their totals."""
     out = np.zeros((n, 256), np.int32)
     for at in range(0, len(h), step):
-        d, x = doc[at:at + step].astype(np.int64), h[at:at + step]
-        bits = np.concatenate([np.unpackbits(text.mix64(x, seed + k).view(np.uint8).reshape(-1, 8), axis=1) for k in range(4)], axis=1)
+        d, x = doc[at:at + step], h[at:at + step]
         first = np.flatnonzero(np.diff(d, prepend=-1))
-        counts = np.diff(np.append(first, len(d)))
-        ones = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
-        out[d[first]] += 2 * ones - counts[:, None].astype(np.int32)
-    return out, None
+        size = np.diff(np.append(first, len(d)))
+        parts = -(-size // 255)
+        cut = np.repeat(first, parts) + 255 * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+        raw = np.stack([text.mix64(x, seed + k) for k in range(4)], axis=1).view(np.uint8)
+        counts = np.add.reduceat(_SPREAD[raw], cut, axis=0).view(np.uint8)
+        ones = np.add.reduceat(counts, np.cumsum(parts) - parts, axis=0, dtype=np.int32)
+        out[d[first]] += 2 * ones - size[:, None].astype(np.int32)
+    return out
 
 
 def _pack(sums: np.ndarray) -> np.ndarray:
