@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import bpe, langcrf, quality, rans, rules, sharding, simhash
+from vellum.llm import bpe, decontam, langcrf, quality, rans, rules, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hash_tree": sharding.op1_hash_tree,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_ratio": rules.op4_ngram_ratio,
     "op5_quality_net": quality.op5_quality_net,
     "op7_rans_tokens": rans.op7_rans_tokens,
+    "op8_latent_decontam": decontam.op8_latent_decontam,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_simhash": simhash.op10_simhash,
 }

@@ -63,3 +63,42 @@ def arrow_batches(spark: SparkSession) -> None:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def summed(df: DataFrame, columns: list[str], fill, shape: tuple[int, int], slice_rows: int = 1024):
+    """The sum over all rows of tables of one fixed shape (float64).  ``fill(total, batch)`` adds a batch to
+    a task's table.  Tasks are at most twice the cores; tables travel in slices of rows, and what the
+    driver gets is one table, whatever the input."""
+    import numpy as np
+    import pyarrow as pa
+
+    spark = df.sparkSession
+    rows, width = shape
+    kind = "slice bigint, sums binary"
+
+    def partial(batches):
+        total, some = np.zeros(shape), False
+        for batch in batches:
+            if batch.num_rows:
+                some = True
+                fill(total, batch)
+        if some:
+            cut = [total[i:i + slice_rows].tobytes() for i in range(0, rows, slice_rows)]
+            yield pa.record_batch([pa.array(range(len(cut)), pa.int64()), pa.array(cut, pa.binary())], names=["slice", "sums"])
+
+    def add(batches):
+        sums: dict = {}
+        for batch in batches:
+            for k, raw in zip(batch.column("slice").to_pylist(), batch.column("sums").to_pylist()):
+                v = np.frombuffer(raw)
+                sums[k] = sums[k] + v if k in sums else v
+        yield pa.record_batch([pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["slice", "sums"])
+
+    cores = max(2, spark.sparkContext.defaultParallelism)
+    parts = df.select(*columns).coalesce(2 * cores).mapInArrow(partial, kind)
+    out = np.zeros(shape)
+    for r in parts.repartition(min(-(-rows // slice_rows), cores), "slice").mapInArrow(add, kind).collect():
+        at = r["slice"] * slice_rows
+        got = np.frombuffer(r["sums"]).reshape(-1, width)
+        out[at:at + len(got)] += got
+    return out
