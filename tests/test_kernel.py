@@ -24,10 +24,10 @@ HITS = [
     ("normalize-unicode", "“a” — b… `“c”`\n", '"a" -- b... `“c”`\n'),
     ("strip-url-tracking-params", "[x](https://e.org/?utm_a=1&q=2&gclid=3) https://e.org/?fbclid=9", "[x](https://e.org/?q=2) https://e.org/"),
     ("strip-setext-headers", "A\n==\n\nB\n--\nc\n", "# A\n\n## B\nc\n"),
-    ("strip-html-comments", "a <!-- b --> c\n<!-- own\nline -->\n\nd\n", "a  c\n\nd\n"[:6] + "d\n"),
+    ("strip-html-comments", "a <!-- b --> c\n<!-- own\nline -->\n\nd\n", "a  c\nd\n"),
     ("strip-html-comments", "x <!-- open", "x <!-- open"),
     ("compress-code-blocks", "```sh\n$ ls -l\nout\n$ pwd\n```\n", "```sh\nls -l\nout\npwd\n```\n"),
-    ("compress-code-blocks", "```yaml\n# only\n# comments\n```\nz\n", "z\n"),
+    ("compress-code-blocks", "```yaml\n# only a comment\n\n```\nz\n", "z\n"),
     ("compress-code-blocks", '```python\nimport os\n"""doc"""\nx = 1\n```\n', "```python\nx = 1\n```\n"),
     ("compress-code-blocks", "```js\nglob('src/*.js')\nrun()\n```\n", "```js\nglob('src/*.js')\nrun()\n```\n"),
     ("strip-badges", "[![b](https://img.shields.io/x)](y)\nt ![c](https://codecov.io/z) u\n", "t  u\n"),
@@ -108,7 +108,7 @@ def test_lines_and_blocks():
     assert [(b.first, b.last) for b in L.blocks_of(lines)] == [(1, 4)]
     assert L.split_lines("") == [] and len(L.split_lines("a\n")) == 1
     assert L.blocks_of(L.split_lines("```\nopen\n")) == []
-    assert L.count_words("a-b 12 é_ß 日本") == 5 + 0 and L.language_of("  ```Go x") == "go"
+    assert L.count_words("a-b 12 é_ß 日本") == 6 and L.language_of("  ```Go x") == "go"
 
 
 def test_phrases():

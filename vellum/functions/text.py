@@ -63,7 +63,7 @@ def squeeze(text: Column) -> Column:
 
 def clean_url(url: Column) -> Column:
     """Without tracking parameters."""
-    gone = F.regexp_replace(url, r"[?&](?:utm_[a-z_]+|[fg]clid|[gw]braid|yclid|msclkid|mc_[ce]id|igshid|_g[al]|ref(?:_src)?|si)=[^&#\t\n\f\r )>\]]*", "")
+    gone = F.regexp_replace(url, r"[?&](?:utm_[a-z_]+|(?:fb|g)clid|[gw]braid|yclid|msclkid|mc_[ce]id|igshid|_g[al]|ref(?:_src)?|si)=[^&#\t\n\f\r )>\]]*", "")
     head, tail = F.regexp_extract(gone, "^[^?&]*", 0), F.regexp_replace(gone, "^[^?&]*", "")
     tail = F.regexp_replace(tail, r"^(?:\?&*|&)", "\u0001")
     tail = F.regexp_replace(F.regexp_replace(F.regexp_replace(tail, r"\?", ""), "&+", "&"), "\u0001", "?")

@@ -170,7 +170,7 @@ def normalize_unicode(src: str, ctx: Context) -> list[Edit]:
 
 
 URL = r"https?://[^~S)>\]]+"
-TRACKERS = r"[?&](?:utm_[a-z_]+|[fg]clid|[gw]braid|yclid|msclkid|mc_[ce]id|igshid|_g[al]|ref(?:_src)?|si)=[^&#~S)>\]]*"
+TRACKERS = r"[?&](?:utm_[a-z_]+|(?:fb|g)clid|[gw]braid|yclid|msclkid|mc_[ce]id|igshid|_g[al]|ref(?:_src)?|si)=[^&#~S)>\]]*"
 
 
 def clean_url(url: str) -> str:

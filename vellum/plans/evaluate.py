@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from vellum.operators.registry import RULES, Options
 from vellum.plans import pipeline, stats, store
@@ -48,7 +49,7 @@ def score_of(reply: str) -> float | None:
     """A score from 0 to 1, out of JSON or else the first number."""
     raw = json_part(reply).get("score")
     if raw is None:
-        m = re.search(r"(?<![\d.])(?:0(?:\.\d+)?|1(?:\.0+)?)(?![\d.])", reply)
+        m = re.search(r"(?<![\d.])(?:0(?:\.\d+)?|1(?:\.0+)?)(?!\d|\.\d)", reply)
         raw = m.group() if m else None
     try:
         v = float(raw)
@@ -76,8 +77,7 @@ def ask(df: DataFrame, prompt: str, out: str, backend: Backend) -> DataFrame:
             got = pa.array([backend(p) for p in batch.column(prompt).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, got], names=[*names, out])
 
-    schema = df.schema.add(out, "string")
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out, StringType())]))
 
 
 def _prompt(template: str, **columns: str) -> F.Column:

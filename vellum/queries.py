@@ -76,7 +76,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # ------------------------------------------------------------ scalar functions
 
-_TRACK = r"'[?&](utm_[a-z_]+|[fg]clid|[gw]braid|yclid|msclkid|mc_[ce]id|igshid|_g[al]|ref_src|ref|si)=[^&#\t\n\f\r )>\]]*'"
+_TRACK = r"'[?&](utm_[a-z_]+|fbclid|gclid|[gw]braid|yclid|msclkid|mc_[ce]id|igshid|_g[al]|ref_src|ref|si)=[^&#\t\n\f\r )>\]]*'"
 _CLEAN = f"""case when g = url then url else regexp_replace(concat(regexp_extract(g, '^[^?&]*'), regexp_replace(regexp_replace(replace(
     regexp_replace(regexp_replace(g, '^[^?&]*', ''), '^(\\?&*|&)', chr(1)), '?', ''), '&+', '&', 'g'), chr(1), '?')), '[?&]+$', '') end"""
 
