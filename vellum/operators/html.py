@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from vellum.operators.lines import Context, Edit, count_words, rx, rxi, split_lines, squeeze, trim, whole
+from vellum.operators.lines import TARGET, Context, Edit, count_words, rx, rxi, split_lines, squeeze, trim, whole
 
 _ALT = r"!\[([^\]]*)\]"
 _SRC = r"\(([^)~S]+)(?:~s+\"[^\"]*\")?\)"
@@ -107,7 +107,8 @@ def badges(src: str, ctx: Context) -> list[Edit]:
     return out
 
 
-_TAG = r"(?:<a\b[^>]*>~s*)?<img\b[^>]*>(?:~s*</a>)?"
+_A, _PIC_TAG = (rf"<{t}\b[^>]*>" for t in ("a", "img"))
+_TAG = rf"(?:{_A}~s*)?{_PIC_TAG}(?:~s*</a>)?"
 _SHOWY = ("banner", "divider", "header", "hero", "image", "logo", "pic", "screenshot")
 
 
@@ -140,7 +141,7 @@ def decorative_images(src: str, ctx: Context) -> list[Edit]:
     for line in lines:
         if line.fenced:
             continue
-        m = rx(r"~s*!\[([^\]]*)\]\([^)]+\)~s*$").match(line.text)
+        m = rx(rf"~s*{_ALT}{TARGET}~s*$").match(line.text)
         if m and decorative_alt(m.group(1)):
             out.append(whole(line))
         elif "<" in line.text and rx(rf"(?is)~s*{_TAG}~s*$").match(line.text) and decorative_tag(line.text):

@@ -11,6 +11,8 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 from typing import NamedTuple
 
+#: A link's address in parentheses, and its text in brackets.
+TARGET, LABEL = r"\([^)]+\)", r"\[[^\]]+\]"
 #: White space as Unicode has it, without the separators U+001C to U+001F.
 BLANKS = "\t\n\x0b\x0c\r \x85\xa0                　"
 

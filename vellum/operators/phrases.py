@@ -14,7 +14,7 @@ from typing import NamedTuple
 from vellum.operators.lines import Context, Edit, Line, rx, size, split_lines
 
 SHORTEST, LONGEST, LEAST, LEAST_BYTES, MOST_NAMES = 3, 6, 5, 15, 64
-_SIGNS = frozenset("[](){}*_`<>|#~")
+_SIGNS = frozenset("#()*<>[]_`{|}~")
 
 
 class Word(NamedTuple):

@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 
 from vellum.operators.lines import (
-    Context, Edit, Line, apply_edits, count_words, heading, in_code, rx, rxi, size, split_lines, squeeze, trim, whole, words,
+    LABEL, TARGET, Context, Edit, Line, apply_edits, count_words, heading, in_code, rx, rxi, size, split_lines, squeeze, trim, whole, words,
 )
 
-# ------------------------------------------------------------ whole lines
+## whole lines
 
 
 def drop_lines(src: str, test, skip: str = "") -> list[Edit]:
@@ -63,7 +63,7 @@ def mkdocs_includes(src: str, ctx: Context) -> list[Edit]:
     return drop_lines(src, lambda t: t.startswith(starts) or t.startswith("{!"))
 
 
-FOOTER = r"(?:#{1,6}~s+|[*]+~s*)?(?:edit (?:this )?page|edit on github|view source|last updated|page last (?:updated|modified))\b"
+FOOTER = r"(?:[*]+~s*|#{1,6}~s+)?(?:view source|(?:page last modified|(?:page )?last updated)|edit on github|edit (?:this )?page)\b"
 
 
 def edit_page_footers(src: str, ctx: Context) -> list[Edit]:
@@ -108,7 +108,7 @@ SEO = "|".join(
         r"\[?edit\]?(?:~s*on~s+github)?",
     )
 )
-_CRUMB = r"(?:[-a-z0-9._]+|\[[^\]]+\](?:\([^)]+\))?)"
+_CRUMB = rf"(?:{LABEL}(?:{TARGET})?|[-._0-9a-z]+)"
 CRUMBS = rf"{_CRUMB}~s*>~s*{_CRUMB}~s*>~s*.+$|\[?(?:cookbook|examples?|api|reference|guide|docs|home)\]?~s*[|>/]~s*\[?.+~s*[|>/]~s*.+$"
 _PART = "(?:guide|article|chapter|page|section)?"
 NEXT = (
@@ -144,7 +144,7 @@ def blank_lines(src: str, ctx: Context) -> list[Edit]:
     return out
 
 
-# ------------------------------------------------------------ inside lines
+## inside lines
 
 #: One character to one, or to none.
 UNICODE = {
@@ -254,7 +254,7 @@ def hedging_phrases(src: str, ctx: Context) -> list[Edit]:
     return out
 
 
-_ICONS = "⚠️💡📖⚡🔍💥🔥✅❌🚧🚨🎉💬📣📢🤖🔧"
+_ICONS = "".join(map(chr, (0x26A0, 0xFE0F, 0x2705, 0x274C, 0x26A1, *range(0x1F4A0, 0x1F4AD), 0x1F4A5, 0x1F4D6, 0x1F4E2, 0x1F4E3, 0x1F50D, 0x1F525, 0x1F527, 0x1F6A7, 0x1F6A8, 0x1F389, 0x1F916)))
 _NOTES = "REMINDER|HINT|DANGER|CAUTION|INFO|TIP|IMPORTANT|WARNING|NOTE"
 _STRESS = r"(?:[*]{1,2}|_{1,2})"
 
@@ -310,19 +310,20 @@ def cross_references(src: str, ctx: Context) -> list[Edit]:
     return out
 
 
-# ------------------------------------------------------------ changelogs
+## changelogs
 
-_MONTH = "(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:t(?:ember)?)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
+_MONTHS = "January February March April May June July August September October November December Sept"
+_MONTH = "(?:" + "|".join(f"{m[:3]}(?:{m[3:]})?" for m in _MONTHS.split()) + ")"
 _ISO = r"\d{4}[/-]\d{1,2}[/-]\d{1,2}"
-_REF = r"\[#\d+\]\([^)]+\)"
+_REF = rf"\[#[0-9]+\]{TARGET}"
 _AT = r"@[-\w]+"
-_WHO = r"\[\w[-.\w]*\]\(https?://github\.com/[-\w]+/?\)"
+_WHO = r"\[\w[-.\w]*\][(]https?://github[.]com/[-\w]+/?[)]"
 IDS = [
     rf"~s*\({_AT}(?:~s+(?:in~s+)?{_REF})+(?:~s*,~s*{_REF})*\)",
     rf"~s*\({_WHO}(?:~s*[,&]~s*{_WHO})*(?:~s+in~s+{_REF})?\)",
     rf"~s*\({_REF}(?:~s*,~s*{_REF})*\)",
     rf"~s*\((?:(?:h/t|by|thanks(?:~s+to)?)~s+)?{_AT}(?:~s*,~s*{_AT})*\)",
-    r"~s+\[#\d+\]\(https?://[^)]+/(?:compare|commit|issues|pull)/[^)]+\)~s*$",
+    r"~s+\[#[0-9]+\][(]https?://[^)]+/(?:compare|commit|issues|pull)/[^)]+[)]~s*$",
 ]
 DATES = [rf"~s*\(~s*{_MONTH}[^)]*\d{{4}}~s*\)~s*$", rf"~s*[—–-]~s*{_ISO}~s*$", rf"~s*\(~s*{_ISO}~s*\)~s*$"]
 CHANGELOG_PATH = r"(?:^|/)(?:history|releases|release[_-]?notes|change[_-]?log)(?:[-.]|$)"
@@ -362,7 +363,7 @@ def changelogs(src: str, ctx: Context) -> list[Edit]:
     return out
 
 
-# ------------------------------------------------------------ document and sections
+## document and sections
 
 
 def frontmatter(src: str, ctx: Context) -> list[Edit]:
@@ -391,7 +392,7 @@ def setext_headers(src: str, ctx: Context) -> list[Edit]:
 
 _TITLE = r"~s{0,3}(#{1,6})~s+(.+?)~s*#*~s*$"
 _ITEM = r"~s*(?:[-+*]|\d+\.)~s+"
-_ANCHOR = r"\[[^\]]+\]\(#[^)]+\)"
+_ANCHOR = LABEL + "[(]#[^)]+[)]"
 
 
 def _title(text: str) -> tuple[int, str] | None:
@@ -490,9 +491,10 @@ def boilerplate_sections(src: str, ctx: Context) -> list[Edit]:
     return out
 
 
-# ------------------------------------------------------------ intro sentences said again in the body
+## intro sentences said again in the body
 
-_TOKEN = r"[A-Za-z0-9][A-Za-z0-9._/-]*"
+_ALNUM = "A-Za-z0-9"
+_TOKEN = rf"[{_ALNUM}][-./_{_ALNUM}]*"
 _STOP = frozenset("a an and are as at be by for from in into is it of on or that the this to with".split())
 
 

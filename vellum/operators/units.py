@@ -6,7 +6,7 @@ import hashlib
 from typing import NamedTuple
 
 from vellum.operators.code import COMMENT, DUPLICATE
-from vellum.operators.lines import blocks_of, count_words, heading, language_of, rx, size, split_lines, squeeze, trim
+from vellum.operators.lines import TARGET, blocks_of, count_words, heading, language_of, rx, size, split_lines, squeeze, trim
 
 
 class Unit(NamedTuple):
@@ -24,10 +24,11 @@ def _key(s: str) -> str:
 
 
 _QUOTED = "\"[^\"\n]*\"|'[^'\n]*'"
-_VERSION = r"\bv?\d+(?:\.\d+){1,3}(?:[-.][a-z0-9]+)*\b"
-_HEX, _NUMBER = r"\b0x[0-9a-f]+\b", r"\b\d+\b"
+_DIGITS = "[0-9]+"
+_VERSION = rf"\bv?{_DIGITS}(?:[.]{_DIGITS}){{1,3}}(?:[-.][a-z0-9]+)*\b"
+_HEX, _NUMBER = r"\b0x[0-9a-f]+\b", rf"\b{_DIGITS}\b"
 _TEXT_SHAPE = (
-    (r"https?://[^~S)\]]+", " <url> "), (r"\[([^\]]+)\]\([^)]+\)", r" \1 "), (r"!\[[^\]]*\]\([^)]+\)", " "), ("`[^`]+`", " <code> "),
+    (r"https?://[^~S)\]]+", " <url> "), (rf"\[([^\]]+)\]{TARGET}", r" \1 "), (rf"!\[[^\]]*\]{TARGET}", " "), ("`[^`]+`", " <code> "),
     (_VERSION, " <ver> "), (_HEX, " <hex> "), (_NUMBER, " <num> "), (_QUOTED, " <str> "), (r"(?:[-\w.]+/){2,}[-\w.]*", " <path> "),
 )
 _CODE_SHAPE = ((_QUOTED, " <s> "), (_VERSION, " <v> "), (_HEX, " <h> "), (_NUMBER, " <n> "))

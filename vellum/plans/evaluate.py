@@ -49,7 +49,7 @@ def score_of(reply: str) -> float | None:
     """A score from 0 to 1, out of JSON or else the first number."""
     raw = json_part(reply).get("score")
     if raw is None:
-        m = re.search(r"(?<![\d.])(?:0(?:\.\d+)?|1(?:\.0+)?)(?!\d|\.\d)", reply)
+        m = re.search(r"(?<![\d.])(?:[01](?:\.\d*)?|\.\d+)(?!\d)", reply)
         raw = m.group() if m else None
     try:
         v = float(raw)

@@ -74,7 +74,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# ------------------------------------------------------------ scalar functions
+## scalar functions
 
 _TRACK = r"'[?&](utm_[a-z_]+|fbclid|gclid|[gw]braid|yclid|msclkid|mc_[ce]id|igshid|_g[al]|ref_src|ref|si)=[^&#\t\n\f\r )>\]]*'"
 _CLEAN = f"""case when g = url then url else regexp_replace(concat(regexp_extract(g, '^[^?&]*'), regexp_replace(regexp_replace(replace(
@@ -133,7 +133,7 @@ def headings(spark, sf):
     )
 
 
-# ------------------------------------------------------------ one rule at a time
+## one rule at a time
 
 
 def _rule_query(rule: str):
@@ -205,11 +205,11 @@ for _r in RULES:
         query("rule_" + _r.name.replace("-", "_"), RULE_ORACLES.get(_r.name))(_rule_query(_r.name))
 
 
-# ------------------------------------------------------------ duplicates over the corpus
+## duplicates over the corpus
 
 
 @query("dup_paragraphs", rf"""with raw as (select doc_id, unnest({_LINES}) as line, generate_subscripts({_LINES}, 1) as no from documents),
-l as (select *, trim(line, ' ' || chr(9) || chr(13)) as t from raw), e as (select *, t <> '' and substr(t, 1, 1) not in ('#', '>', '|', '-', '*', '+') and not regexp_matches(t, '^[0-9]+\. ') as ok from l),
+l as (select *, trim(line, ' ' || chr(9) || chr(13)) as t from raw), e as (select *, t <> '' and strpos('+*-|>#', substr(t, 1, 1)) = 0 and not regexp_matches(t, '^[0-9]+\. ') as ok from l),
 g as (select *, sum(case when ok then 0 else 1 end) over (partition by doc_id order by no) as grp from e),
 p as (select doc_id, min(no) as no, string_agg(line, chr(10) order by no) as body from g where ok group by doc_id, grp),
 w as (select doc_id, no, strlen(body)::bigint as bytes, substr(sha256(lower(trim(regexp_replace(body, '[\t\n\f\r ]+', ' ', 'g')))), 1, 32) as key from p
@@ -245,7 +245,7 @@ def dup_sections(spark, sf):
     return u.join(pipeline.first_places(u, "key"), "key").select("path", F.col("line").cast("bigint").alias("line"), F.col("bytes").cast("bigint").alias("bytes"), "key", F.col("first.path").alias("first_path"))
 
 
-# ------------------------------------------------------------ phrases
+## phrases
 
 _GRAMS = r"""w as (select doc_id, no, list_filter(regexp_split_to_array(line, '[ \t]+'), lambda x: x <> '') as ws from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as no from documents)
     where not regexp_matches(line, '^[ \t]*([#>|]|[-*+] |[0-9]+\. |https?://|$)') and not contains(line, '`')),
@@ -264,7 +264,7 @@ def phrase_glossary(spark, sf):
     return phrasebook.glossary(phrasebook.phrase_counts(_table(spark, sf, "documents"), 5)).withColumn("gross", F.col("gross").cast("bigint"))
 
 
-# ------------------------------------------------------------ manifests and verdicts
+## manifests and verdicts
 
 _SAVED = "select url as source, ceil(strlen(html) / 4.0)::bigint as tokens_before, ceil(strlen(regexp_replace(html, '(?s)<!--.*?-->', '', 'g')) / 4.0)::bigint as tokens_after from pages"
 
@@ -328,7 +328,7 @@ def rule_catalogue(spark, sf):
     return spark.createDataFrame([(i, r.name, r.tier, r.opt_in) for i, r in enumerate(RULES, 1)], "position int, name string, tier int, opt_in boolean")
 
 
-# ------------------------------------------------------------ everything
+## everything
 
 
 def _digest(df: DataFrame) -> DataFrame:
