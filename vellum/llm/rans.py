@@ -41,7 +41,7 @@ LOW = np.uint64(1 << 31)
 END_ID = 2
 
 
-# ---------------------------------------------------------------- tables
+## tables
 
 def table_of(counts: dict[int, int], scale: int = SCALE) -> tuple[np.ndarray, np.ndarray]:
     """Symbols and their frequencies (sum 2**scale, at least 1 each), the same for the same counts."""
@@ -126,7 +126,7 @@ class Coder:
         return [self.symbols[got[b].reshape(-1)[:sizes[b]]] for b in range(len(blocks))]
 
 
-# ---------------------------------------------------------------- files
+## files
 
 def _open(path: str, write: bool):
     from pyarrow import fs
@@ -200,7 +200,7 @@ def read_file(path: str, coder: Coder) -> Iterator[tuple[object, int, np.ndarray
                 buf, have = [line[used:]], len(line) - used
 
 
-# ---------------------------------------------------------------- tokens
+## tokens
 
 class LibraryIds:
     """Ids by the tokenizers library, each distinct piece once."""
