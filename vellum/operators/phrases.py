@@ -8,7 +8,7 @@ mode it doesn't, and a replaced phrase then swallows the code in its middle).
 from __future__ import annotations
 
 import bisect
-from collections import defaultdict
+from collections import Counter, defaultdict
 from typing import NamedTuple
 
 from vellum.operators.lines import Context, Edit, Line, rx, size, split_lines
@@ -89,10 +89,7 @@ def factor(src: str, ctx: Context) -> list[Edit]:
     found = runs(split_lines(src), ctx.compat)
     if ctx.glossary or ctx.glossary_line:
         return _apply(found, ctx)
-    places: dict[str, list[tuple[int, int]]] = defaultdict(list)
-    for run in found:
-        for text, start, end in phrases(run):
-            places[text].append((start, end))
+    places = _frequent(found)
     ranked = sorted((-len(at) * (size(t) - 2), t.encode(), t) for t, at in places.items() if len(at) >= LEAST)
     claims, out, names = _Claims(), [], []
     for _, _, t in ranked:
@@ -111,6 +108,36 @@ def factor(src: str, ctx: Context) -> list[Edit]:
     return [Edit(0, 0, "[gloss] " + "; ".join(names) + "\n"), *out] if names else []
 
 
+def _frequent(found: list[list[Word]]) -> dict[str, list[tuple[int, int]]]:
+    """Places of the phrases that may recur often enough: every three neighbours in one must."""
+    segments = []
+    for run in found:
+        i = 0
+        while i < len(run):
+            k = i
+            while k < len(run) and run[k].good:
+                k += 1
+            if k - i >= SHORTEST:
+                segments.append(run[i:k])
+            i = k + 1
+    threes = Counter(t for s in segments for t in zip(*([w.text for w in s[j:]] for j in range(3))))
+    threes = {t for t, n in threes.items() if n >= LEAST}
+    places: dict[str, list[tuple[int, int]]] = defaultdict(list)
+    if not threes:
+        return places
+    for s in segments:
+        w = [x.text for x in s]
+        hot = [t in threes for t in zip(w, w[1:], w[2:])]
+        for a in range(len(hot)):
+            n = 0
+            while n <= LONGEST - SHORTEST and a + n < len(hot) and hot[a + n]:
+                text = " ".join(w[a:a + n + SHORTEST])
+                if size(text) >= LEAST_BYTES:
+                    places[text].append((s[a].start, s[a + n + SHORTEST - 1].end))
+                n += 1
+    return places
+
+
 def _apply(found: list[list[Word]], ctx: Context) -> list[Edit]:
     claims, out = _Claims(), []
     for run in found:

@@ -221,11 +221,26 @@ _GONE = "\n".join(
         "to (?:make a long story|put) (?:things |it )?(?:short|simply),?", "without further ado,?", "you might be wondering,?",
     )
 ).split("\n")
-#: The first seventeen kinds, which also have SQL.
-HEDGES = [(rf"\b{p}~s+", "") for p in _GONE] + [(rf"\b{p}\b", r) for p, r in _SWAPS.items()] + [(rf"\b{_WE}~s+", "we'll ")]
+#: For each pattern a word that any match of it holds, to tell cheaply which patterns a text needs.
+_SURE = {
+    "let's (?:examine": "let's", "it (?:goes without": "that", "it is important": "important to", "it is worth": "worth noting", "it should": "it should be",
+    "now,?": "interesting is", "(?:that |this )?being": "being said", "to (?:make": "to ", "keep (?:it": "in mind that",
+}
+
+
+def _sure(pattern: str) -> str:
+    known = next((w for head, w in _SURE.items() if pattern.startswith(head)), None)
+    return known or re.split(r"[,(?~]", pattern)[0].strip()
+
+
+HEDGES = [(rf"\b{p}~s+", "", _sure(p)) for p in _GONE] + [(rf"\b{p}\b", r, p) for p, r in _SWAPS.items()] + [(rf"\b{_WE}~s+", "we'll ", "we'l")]
 
 
 def hedging_phrases(src: str, ctx: Context) -> list[Edit]:
+    low = src.lower()
+    needed = [h for h in HEDGES if h[2] in low]
+    if not needed:
+        return []
     out = []
     for line in split_lines(src):
         t = trim(line.text)
@@ -233,7 +248,9 @@ def hedging_phrases(src: str, ctx: Context) -> list[Edit]:
             continue
         text, low = line.text, line.text.lower()
         found = []
-        for pattern, new in HEDGES:
+        for pattern, new, sure in needed:
+            if sure not in low:
+                continue
             for m in rxi(pattern).finditer(text):
                 if not in_code(text, m.start()):
                     found.append((m.start(), -m.end(), new))

@@ -31,3 +31,16 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
         p = spark._jvm.org.apache.hadoop.fs.Path(f)
         total += p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).getLen()
     return F.broadcast(df) if total <= limit else df
+
+
+def spread(df: DataFrame, per_core: int = 32 << 20) -> DataFrame:
+    """A table read from few bytes of files is dealt to all cores: its files may have fewer row groups than there are
+    cores.  A table of over ``per_core`` bytes a core has enough of them, and isn't shuffled."""
+    spark, total = df.sparkSession, 0
+    cores = spark.sparkContext.defaultParallelism
+    for f in df.inputFiles():
+        p = spark._jvm.org.apache.hadoop.fs.Path(f)
+        total += p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).getLen()
+        if total > per_core * cores:
+            return df
+    return df.repartition(2 * cores)

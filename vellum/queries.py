@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as T
 from vellum.operators.registry import BY_NAME, RULES, SAFE, AGGRESSIVE, Options
-from vellum.plans import phrasebook, pipeline, stats
+from vellum.plans import phrasebook, pipeline, stats, store
 from vellum.plans.evaluate import alone
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,7 +56,7 @@ MD_DOCS = f"select {MD_PATH} as path, {MD_TEXT} as text from documents"
 
 
 def md_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = store.spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return docs.selectExpr(f"{MD_PATH} as path", f"{MD_TEXT} as text")
 
 
@@ -216,7 +216,7 @@ w as (select doc_id, no, strlen(body)::bigint as bytes, substr(sha256(lower(trim
     where len(list_filter(regexp_split_to_array(body, '[^\pL\p{{Nd}}]+'), lambda x: x <> '')) >= 30)
 select key, count(*)::bigint as n, count(distinct doc_id)::bigint as n_docs, min(doc_id) as first_doc, sum(bytes)::bigint as bytes from w group by key having count(*) > 1""")
 def dup_paragraphs(spark, sf):
-    docs = _table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
+    docs = store.spread(_table(spark, sf, "documents")).select(F.col("doc_id").cast("string").alias("path"), "text")
     u = pipeline.unit_table(pipeline.start(docs), "factor-cross-file-paragraphs").withColumn("doc_id", F.col("path").cast("bigint"))
     g = u.groupBy("key").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"), F.sum("bytes").cast("bigint").alias("bytes"))
     return g.where("n > 1")
@@ -256,12 +256,12 @@ c as (select phrase, count(*)::bigint as n from k where strlen(phrase) >= 15 gro
 
 @query("phrase_counts", f"with {_GRAMS} select phrase, n from c")
 def phrase_counts(spark, sf):
-    return phrasebook.phrase_counts(_table(spark, sf, "documents"), 5)
+    return phrasebook.phrase_counts(store.spread(_table(spark, sf, "documents")), 5)
 
 
 @query("phrase_glossary", f"with {_GRAMS}, r as (select *, n * (strlen(phrase) - 2) as gross, row_number() over (order by n * (strlen(phrase) - 2) desc, phrase) as k from c) select 'T' || k as name, phrase, n, gross::bigint as gross from r where k <= 64")
 def phrase_glossary(spark, sf):
-    return phrasebook.glossary(phrasebook.phrase_counts(_table(spark, sf, "documents"), 5)).withColumn("gross", F.col("gross").cast("bigint"))
+    return phrasebook.glossary(phrasebook.phrase_counts(store.spread(_table(spark, sf, "documents")), 5)).withColumn("gross", F.col("gross").cast("bigint"))
 
 
 ## manifests and verdicts
