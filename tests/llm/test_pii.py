@@ -74,7 +74,7 @@ def test_disclosure(spark):
 
 
 def test_sanitised_keeps_rows_and_columns(spark):
-    rows = [(1, None, "en"), (2, "", "en"), (2, "", "en"), (None, "a@b.c +1 2.3.4.5 678", "x"), (4, "call 4111 1111 1111 1111 now é", None)]
+    rows = [(1, None, "en"), (2, "", "en"), (2, "", "en"), (None, "a@b.c +1 2.3.4.5 6789", "x"), (4, "call 4111 1111 1111 1111 now é", None)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     out = pii.sanitised(df)
     assert out.columns == df.columns

@@ -44,7 +44,8 @@ def test_base_counts(spark):
 
 
 def test_ratios_against_a_plain_count(spark):
-    docs = spark.createDataFrame([(1, "one two one"), (2, "three"), (3, None), (1, "two")], "doc_id bigint, text string")
+    rows = [(1, "one two one", 0), (2, "three", 0), (3, None, 0), (1, "two", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, good int")
     trusted = spark.createDataFrame([(1,)], "doc_id bigint")
     n = 1 << 14
     tails = {w: spark.range(1).select(F.pmod(F.xxhash64(F.lit(w[-4:])), F.lit(n))).first()[0] for w in ("one", "two", "three")}

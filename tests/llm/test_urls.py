@@ -37,7 +37,7 @@ def test_against_a_loop(spark, monkeypatch, limit):
     entries = [(rng.choice(hosts).lower(), DAY + datetime.timedelta(hours=rng.randint(0, 50)), rng.choice(["block", "allow"])) for _ in range(40)]
     caps = [(i, f"https://{rng.choice(hosts)}/p{i}", DAY + datetime.timedelta(hours=rng.randint(0, 60))) for i in range(300)]
     caps += [(900, None, DAY), (901, "no host", DAY), (902, "http://a.com/", None), (903, "", DAY), (0, "http://a.com", DAY), (0, "http://a.com", DAY)]
-    df = spark.createDataFrame(caps, "page_id bigint, url string, fetched_at timestamp").selectExpr("*", "'clash' as domain_")
+    df = spark.createDataFrame(caps, "page_id bigint, url string, fetched_at timestamp").selectExpr("*", "'clash' as domain", "1 as host")
     more = entries + [(None, DAY, "block"), ("a.com", None, "block"), entries[0]]
     lists = spark.createDataFrame(more, "domain string, at timestamp, action string")
     got = sorted((r.page_id, str(r.url), str(r.fetched_at), r.blocked) for r in urls.decide(df, lists).collect())

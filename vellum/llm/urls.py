@@ -49,7 +49,7 @@ def decide(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """captures: page_id, url, fetched_at; entries: domain, at, action.  Returns page_id, url, host,
     fetched_at, the deciding domain and since when it holds (null if none), and blocked."""
     spark = captures.sparkSession
-    captures = captures.withColumn("host", host_of(F.col("url")))
+    captures = captures.select("page_id", "url", "fetched_at", host_of(F.col("url")).alias("host"))
     asked = captures.where("host is not null and fetched_at is not null").select("host", "fetched_at").distinct()
     asked = asked.select("host", "fetched_at", F.explode(_domains(F.col("host"))).alias("domain"))
     listed = job.written(intervals(entries), "url-intervals")
