@@ -45,8 +45,9 @@ MD_TEXT = f"""concat(
     replace(text, {_NL}, concat({_NL}, {_NL})), {_NL}, {_NL},
     {_if("doc_id % 4 = 1", "Please note that this is “quoted” – and in order to win… see the [guide](https://a.example.com/x?utm_source=feed&id=3) section.", "")},
     {_if("doc_id % 4 = 2", "**NOTE:** mind the gap", "> **Warning** it is hot", "You should see a list", "The output is:", "Edit this page", "- **Default**: none", "--8<-- part.md", "{! inc !}", "")},
-    {_if("doc_id % 8 = 3", _GO, 'import "fmt"', "// says hello to the reader", 'fmt.Println("hello world", 1)', _FENCE, "", "", "", _PY, "# says hello", 'print("hello world", 1)', "value = compute(1, 2)", _FENCE, "")},
+    {_if("doc_id % 8 = 3", _GO, 'import "fmt"', "// says hello to the reader", 'fmt.Println("hello world", 1)', "return value", _FENCE, "", "", "", _PY, "# says hello", 'print("hello world", 1)', "return value", _FENCE, "")},
     {_if("doc_id % 8 = 5", _GO, 'fmt.Println("hello world", 1)', "Status: inside", "", "", _FENCE, "")},
+    {_if("doc_id % 12 = 8", "<div>", "", "</div>", "", "tool --help", "", _FENCE, "usage: tool", "  --all   everything", _FENCE, "", _FENCE, "sql:concat(repeat(concat('a line of code', chr(10)), 24), 'the last line')", _FENCE, "")},
     {_if("doc_id % 9 = 2", "| Name | Count |", "|------|-------|", "| alpha   | 12   |", "| beta | 7 |", "", "Here alpha has 12 and beta has 7.", "")},
     {_if("doc_id % 9 = 4", "## Shared", "", "This shared section says the same thing in every file that has it, so that a reader of the corpus needs it only once and no more.", "", "### Deeper", "", "Some words below the deeper heading.", "")},
     {_if("doc_id % 10 = 6", "# Changelog", "", "## 1.2.3 - 2025-01-15", "October 20, 2025", "- fix the thing ([#12](https://github.com/a/b/pull/12)) (@user)", "")},
@@ -200,6 +201,53 @@ RULE_ORACLES = {
         ", x as (select * from l)",
         value=r"case when fenced or t = '' or substr(t, 1, 1) = '|' then line else regexp_replace(line, '^([ \t]*[> ]*)[*]{1,2}(?i:NOTE|WARNING):?[*]{1,2} *', '\1') end"),
 }
+
+
+def _lit(*lines: str) -> str:
+    """SQL of lines that each end with a newline."""
+    return " || ".join(f"'{x}' || {_NL}" if x else _NL for x in (v.replace("'", "''") for v in lines))
+
+
+def _becomes(expr: str) -> str:
+    return (
+        f"with md as ({MD_DOCS}), a as (select path, text, {expr} as output from md) "
+        "select path, md5(output) as output_md5, strlen(output)::bigint as bytes_after, (strlen(text) - strlen(output))::bigint as bytes_saved from a"
+    )
+
+
+def _replaced(*pairs: tuple[str, str]) -> str:
+    expr = "text"
+    for a, b in pairs:
+        expr = f"replace({expr}, {a}, {b})"
+    return _becomes(expr)
+
+
+# The documents' own words have none of these shapes, so that what the rules do to the decorations is all they do.
+_TICKS = "repeat(chr(96), 3)"
+_HELLO = 'fmt.Println("hello world", 1)'
+_TABLE = ("| Name | Count |", "|------|-------|", "| alpha   | 12   |", "| beta | 7 |")
+_TOLD = "Here alpha has 12 and beta has 7."
+_LICENSE = _lit("## License", "", "MIT", "", "<!-- end", "of it -->", "")
+RULE_ORACLES |= {
+    "strip-html-comments": _replaced((_lit("<!-- end", "of it -->", ""), "''")),
+    "strip-badges": _replaced((_lit("[![build](https://img.shields.io/a.svg)](https://ci.example.com)"), "''")),
+    "strip-decorative-images": _replaced((_lit("![logo](logo.png)"), "''")),
+    "strip-toc": _replaced((_lit("## Contents", "", "- [One](#one)", "- [Two](#two)", ""), "''")),
+    "strip-hedging-phrases": _replaced(("'Please note that this'", "'This'"), ("' in order to '", "' to '")),
+    "strip-cross-references": _replaced(("' see the [guide](https://a.example.com/x?utm_source=feed&id=3) section.'", "''")),
+    "compact-tables": _replaced((_lit(*_TABLE, "", _TOLD), _lit("| Name | Count |", "| alpha | 12 |", "| beta | 7 |", _TOLD))),
+    "strip-benchmark-prose": _replaced((_lit(_TABLE[-1], "", _TOLD), _lit(_TABLE[-1]))),
+    "compress-code-blocks": _replaced(
+        (_lit('import "fmt"', "// says hello to the reader", _HELLO), _lit(_HELLO)), (_lit("# says hello"), "''")),
+    "strip-html-wrappers": _replaced((_lit("<div>", "", "</div>", ""), _lit("", ""))),
+    "collapse-example-output": _replaced((f"{_lit('tool --help', '')} || {_TICKS} || {_NL} || {_lit('usage: tool', '  --all   everything')} || {_TICKS} || {_NL}", _lit("tool --help", ""))),
+    "truncate-large-code-blocks": _replaced((f"repeat('a line of code' || {_NL}, 24) || {_lit('the last line')}", f"repeat('a line of code' || {_NL}, 20) || {_lit('[... 5 more lines ...]')}")),
+    "dedup-multilang-examples": _replaced((_lit("# says hello", 'print("hello world", 1)', "return value"), _lit("[equivalent to go example above]"))),
+    "strip-boilerplate-sections": _replaced((_LICENSE, "''")),
+    "strip-trailing-cta": _becomes(
+        f"case when strpos(text, '## License') > 0 and strlen(substr(text, 1, strpos(text, '## License') - 1)) >= floor(strlen(text) * 0.7::double) then replace(text, {_LICENSE}, '') else text end"),
+    "position-aware-budget": _becomes("text"),  # no document is long enough
+}
 for _r in RULES:
     if _r.apply is not None:
         query("rule_" + _r.name.replace("-", "_"), RULE_ORACLES.get(_r.name))(_rule_query(_r.name))
