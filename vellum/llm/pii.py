@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm import job
 
-CONTEXT, TERM_CHARS, SUPPORT, GENERALISE, REMOVE = 60, 4, 2, 0.85, 0.95
+CONTEXT, TERM_CHARS, SUPPORT, GENERALISE, REMOVE, PART = 60, 4, 2, 0.85, 0.95, 16
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "[A-Za-z0-9._%+-]"
 PATTERNS = {
@@ -133,18 +133,33 @@ def disclosing(docs: DataFrame, base: DataFrame) -> DataFrame | None:
     ``base``: found(docs), written."""
     seen = base.where("contexts is not null").select("digest", F.explode("contexts").alias("c")).select("digest", "c.entity", "c.terms")
     near = seen.select("digest", "entity", F.explode("terms").alias("term")).distinct()
-    pairs = job.written(near.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT), "pii-pairs")
+    n_texts = base.select("digest").distinct().count()
+    n = F.lit(float(max(n_texts, 1)))
+    entities = seen.select("digest", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT)
+    # The most texts that may hold the term if it is still to disclose the entity.
+    most = F.col("n_both") * n / F.col("n_entity") * F.pow(n / F.col("n_entity"), F.lit(-GENERALISE)) * (1 + 1e-9)
+    pairs = pairs.join(entities, "entity").where(F.col("n_entity") < n).withColumn("most", most)
+    beside = near.select("digest", "term").distinct().groupBy("term").agg(F.count("*").alias("n_beside"))
+    pairs = job.written(pairs.join(beside, "term").where("n_beside <= most").drop("n_beside"), "pii-pairs")
     if pairs.isEmpty():
         return None
-    terms = job.written(pairs.select("term").distinct(), "pii-terms")
-    # Texts that hold a term: over all documents, by distinct text.
+    terms = job.written(pairs.groupBy("term").agg(F.max("most").alias("most")), "pii-terms")
     text = F.coalesce(F.col("text"), F.lit(""))
-    words = docs.select(_digest(text).alias("digest"), F.explode(F.array_distinct(F.split(F.lower(text), rf"[^{LETTERS}]+", -1))).alias("term"))
-    words = words.join(job.maybe_broadcast(terms), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    n_texts = base.select("digest").distinct().count()
-    entities = seen.select("digest", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    told = pairs.join(words, "term").join(entities, "entity")
-    n = F.lit(float(n_texts))
+    keyed = docs.select(text.alias("text"), _digest(text).alias("digest"))
+
+    def texts_with(terms: DataFrame, rows: DataFrame) -> DataFrame:
+        """Distinct texts among the rows that hold each term."""
+        word = F.explode(F.array_distinct(F.split(F.lower("text"), rf"[^{LETTERS}]+", -1))).alias("term")
+        held = rows.select("digest", word).join(job.maybe_broadcast(terms.select("term")), "term", "left_semi")
+        return held.distinct().groupBy("term").agg(F.count("*").alias("n_term"))
+
+    # A part of the texts gives a lower bound, which rules out frequent words before all texts are counted: it loses no
+    # term that could pass, and what is counted in full has few texts each.
+    low = texts_with(terms, keyed.where(F.pmod(F.xxhash64("digest"), F.lit(PART)) == 0))
+    terms = job.written(terms.join(low, "term", "left").where("n_term is null or n_term <= most").select("term"), "pii-rare-terms")
+    words = texts_with(terms, keyed)
+    told = pairs.join(words, "term")
     content = F.log(n / F.col("n_entity"))
     share = F.when(content > 0, F.log(F.col("n_both") * n / (F.col("n_entity") * F.col("n_term"))) / content).otherwise(0.0)
     told = told.select("entity", "term", F.round(share, 9).alias("share")).where(F.col("share") >= GENERALISE)
