@@ -75,7 +75,7 @@ def test_disclosure(spark):
 
 def test_sanitised_keeps_rows_and_columns(spark):
     rows = [(1, None, "en"), (2, "", "en"), (2, "", "en"), (None, "a@b.c +1 2.3.4.5 6789", "x"), (4, "call 4111 1111 1111 1111 now é", None)]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").selectExpr("*", "1 as row", "2 as digest", "3 as terms", "4 as all_", "5 as email")
     out = pii.sanitised(df)
     assert out.columns == df.columns
     assert sorted(((r.doc_id or 0, r.text) for r in out.collect()), key=str) == sorted(

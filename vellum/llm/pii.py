@@ -206,13 +206,13 @@ def sanitised(docs: DataFrame) -> DataFrame:
     generalised.  Where spans of kinds overlap, they are replaced together by the first one's."""
     base = job.written(found(docs), "pii")
     hide = disclosing(docs, base)
-    df = docs.withColumn("digest_", _digest(F.coalesce(F.col("text"), F.lit(""))))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    work = docs.select(row, text.alias("text"), _digest(text).alias("digest"))
     if hide is None:
-        df = df.withColumn("terms_", F.lit(None).cast("array<struct<term:string,remove:boolean>>"))
+        work = work.withColumn("terms", F.lit(None).cast("array<struct<term:string,remove:boolean>>"))
     else:
-        hide = hide.select(F.col("digest").alias("digest_"), F.col("terms").alias("terms_"))
-        df = df.join(job.maybe_broadcast(hide), "digest_", "left")
-    work = df.select(F.struct(*docs.columns).alias("row"), F.coalesce("text", F.lit("")).alias("text"), F.col("terms_").alias("terms"))
+        work = work.join(job.maybe_broadcast(hide), "digest", "left")
     work = with_spans(work)
     work = work.withColumn("p_", _term_pattern(F.col("terms")))
     work = work.withColumn("m_", F.when(F.col("terms").isNotNull(), F.regexp_extract_all("text", F.col("p_"), F.lit(0))))
