@@ -49,7 +49,7 @@ def words(s: str) -> list[str]:
     """Maximal runs of letters and decimal digits."""
     if s.isascii():
         return re.findall("[A-Za-z0-9]+", s)
-    return "".join(c if _letter(c) else " " for c in s).split(" ") if not s else [w for w in "".join(c if _letter(c) else " " for c in s).split(" ") if w]
+    return [w for w in "".join(c if _letter(c) else " " for c in s).split(" ") if w]
 
 
 def count_words(s: str) -> int:
