@@ -14,7 +14,8 @@ from typing import NamedTuple
 from vellum.operators.lines import Context, Edit, Line, rx, size, split_lines
 
 SHORTEST, LONGEST, LEAST, LEAST_BYTES, MOST_NAMES = 3, 6, 5, 15, 64
-_SIGNS = frozenset("#()*<>[]_`{|}~")
+_SIGNS = rx(r"[#()*<>\[\]_`{|}~]")
+_THREE = rx("(?:[^A-Za-z]*[A-Za-z]){3}")
 
 
 class Word(NamedTuple):
@@ -41,7 +42,7 @@ def runs(lines: list[Line], compat: bool = False) -> list[list[Word]]:
         for i, part in enumerate(line.text.split("`")):
             if i % 2 == 0:
                 run += [
-                    Word(at + m.start(), at + m.end(), w := m.group(), sum(c.isascii() and c.isalpha() for c in w) >= 3 and not _SIGNS & set(w))
+                    Word(at + m.start(), at + m.end(), w := m.group(), bool(_THREE.match(w)) and not _SIGNS.search(w))
                     for m in rx("[^ \t\n]+").finditer(part)
                 ]
             if not compat:
@@ -59,11 +60,14 @@ def phrases(run: list[Word]):
         k = i
         while k < len(run) and run[k].good:
             k += 1
-        for n in range(SHORTEST, LONGEST + 1):
-            for a in range(i, k - n + 1):
-                text = " ".join(w.text for w in run[a:a + n])
-                if size(text) >= LEAST_BYTES:
-                    yield text, run[a].start, run[a + n - 1].end
+        texts = [w.text for w in run[i:k]]
+        for a in range(len(texts) - SHORTEST + 1):
+            text = " ".join(texts[a:a + SHORTEST])
+            for b in range(a + SHORTEST, min(a + LONGEST, len(texts)) + 1):
+                if len(text) >= LEAST_BYTES or size(text) >= LEAST_BYTES:
+                    yield text, run[i + a].start, run[i + b - 1].end
+                if b < len(texts):
+                    text += " " + texts[b]
         i = k + 1
 
 
