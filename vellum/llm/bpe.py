@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from vellum.llm import job, text
 
 #: Distinct pre-tokens whose ids a worker keeps; beyond that it starts anew.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 150_000
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 OUT = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
@@ -109,7 +109,7 @@ class Bpe:
             key = a << 32 | b
             known = self._fits.get(key)
             if known is None:
-                if len(self._fits) > 2_000_000:
+                if len(self._fits) > 400_000:
                     self._fits.clear()
                 known = self._fits[key] = self.fits(a, b, 1 << 40)
             return known
@@ -234,7 +234,7 @@ def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(at)
         for batch in batches:
-            for part in text.slices(batch, size=12_000_000):
+            for part in text.slices(batch, size=4_000_000):
                 ids, ptr = bpe.encode_column(part.column("text"))
                 raw, off = bpe.decode_flat(ids, ptr)
                 wire, out = memoryview(ids.astype("<u4").tobytes()), memoryview(np.ascontiguousarray(raw))
@@ -247,7 +247,7 @@ def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
                     pa.array([hashlib.sha256(_valid(out[o[i]:o[i + 1]])).hexdigest() for i in n], pa.string()),
                 ], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, OUT)
+    return docs.select("doc_id", "text").mapInArrow(text.tidy(run), OUT)
 
 
 def _valid(raw: memoryview) -> bytes:

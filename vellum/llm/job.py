@@ -72,6 +72,8 @@ def summed(df: DataFrame, columns: list[str], fill, shape: tuple[int, int], slic
     import numpy as np
     import pyarrow as pa
 
+    from vellum.llm import text
+
     spark = df.sparkSession
     rows, width = shape
     kind = "slice bigint, sums binary"
@@ -95,7 +97,7 @@ def summed(df: DataFrame, columns: list[str], fill, shape: tuple[int, int], slic
         yield pa.record_batch([pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["slice", "sums"])
 
     cores = max(2, spark.sparkContext.defaultParallelism)
-    parts = df.select(*columns).coalesce(2 * cores).mapInArrow(partial, kind)
+    parts = df.select(*columns).coalesce(2 * cores).mapInArrow(text.tidy(partial), kind)
     out = np.zeros(shape)
     for r in parts.repartition(min(-(-rows // slice_rows), cores), "slice").mapInArrow(add, kind).collect():
         at = r["slice"] * slice_rows

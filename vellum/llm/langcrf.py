@@ -264,7 +264,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                     names=["doc_id", "held_out", "lang_pred", "score", "n_words", "n_switches"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, OUT)
+    return docs.select("doc_id", "text").mapInArrow(text.tidy(run), OUT)
 
 
 def runs(docs: DataFrame, model: Model) -> DataFrame:
@@ -290,7 +290,7 @@ def runs(docs: DataFrame, model: Model) -> DataFrame:
                 kind = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.list_(pa.string()))]))
                 yield pa.record_batch([part.column("doc_id").cast(pa.int64()), pa.array(out, kind)], names=["doc_id", "runs"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, runs array<struct<lang:string,words:array<string>>>")
+    return docs.select("doc_id", "text").mapInArrow(text.tidy(run), "doc_id bigint, runs array<struct<lang:string,words:array<string>>>")
 
 
 def op3_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,4 +323,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                 columns = [lang if i == lang_at else kept.column(i) for i in range(kept.num_columns)]
                 yield pa.record_batch(columns, schema=part.schema.set(lang_at, pa.field("lang", pa.string())))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(text.tidy(run), docs.schema)

@@ -228,7 +228,7 @@ def groups(
                 yield pa.record_batch([part.column("doc_id").cast(pa.int64()), part.column("digest"), col], names=["doc_id", "digest", "sig"])
 
     digest = F.coalesce(F.unhex(F.md5("text")), F.concat(F.lit("null "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    signed = docs.select("doc_id", "text", digest.alias("digest")).mapInArrow(sign, "doc_id bigint, digest binary, sig binary")
+    signed = docs.select("doc_id", "text", digest.alias("digest")).mapInArrow(text.tidy(sign), "doc_id bigint, digest binary, sig binary")
     signed = job.written(signed, "simhash")
     # Distinct texts, then distinct signatures; both are aggregated before any shuffle.
     distinct = signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("sig").alias("sig"))
@@ -283,8 +283,8 @@ def groups(
                 names=["u", "v", "n"],
             )
 
-    keys = nodes.mapInArrow(keyed, "key bigint, t int, node bigint, n_texts bigint, sig binary")
-    links = keys.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "u bigint, v bigint, n bigint")
+    keys = nodes.mapInArrow(text.tidy(keyed), "key bigint, t int, node bigint, n_texts bigint, sig binary")
+    links = keys.repartition("key").sortWithinPartitions("key").mapInArrow(text.tidy(compare), "u bigint, v bigint, n bigint")
     links = job.written(links, "simhash-links")
     degree = links.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))
     comp = graph.components(links.where("v is not null").select("u", "v"), "simhash-components")

@@ -62,6 +62,23 @@ def slices(batch: pa.RecordBatch, name: str = "text", size: int = SLICE_BYTES) -
         at = to
 
 
+def tidy(fn):
+    """The same Arrow function, which at a task's end gives freed memory back: Python workers live on
+    from stage to stage."""
+
+    def run(batches):
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            import ctypes
+
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return run
+
+
 class Coded:
     """Distinct pieces of a batch: ``codes`` of all pieces in order, ``ptr`` (documents + 1)
     into them, and ``pieces``, the distinct ones as bytes."""
@@ -169,8 +186,10 @@ def units(col: pa.Array, whole: tuple[bytes, ...] = ()) -> Coded:
 def ragged_take(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """values[starts[i] : starts[i] + counts[i]] for each i, one after another."""
     total = int(counts.sum())
-    ends = np.cumsum(counts)
-    return values[np.arange(total) + np.repeat(starts - (ends - counts), counts)]
+    kind = np.int32 if max(total, len(values)) < 2**31 else np.int64
+    place = np.repeat((starts - (np.cumsum(counts) - counts)).astype(kind), counts)
+    place += np.arange(total, dtype=kind)
+    return values[place]
 
 
 def crc_of_id(doc_id: int) -> int:
