@@ -67,7 +67,8 @@ def repeated(df: DataFrame) -> DataFrame:
 def ratios(docs: DataFrame, trusted: DataFrame, n: int = BUCKETS) -> list[float]:
     """The log-likelihood ratio of each bucket.  docs: doc_id, text; trusted: doc_id, of bounded size."""
     marked = docs.select("doc_id", "text").join(F.broadcast(trusted.select("doc_id", F.lit(1).alias("good"))), "doc_id", "left")
-    flat = grams(marked.select("good", words(F.col("text")).alias("words")), n).select("good", F.explode("grams").alias("g"))
+    # The outer form: for the inner one Spark infers a filter that evaluates the n-grams a second time.
+    flat = grams(marked.select("good", words(F.col("text")).alias("words")), n).select("good", F.explode_outer("grams").alias("g")).where("g is not null")
     rows = flat.groupBy("g").agg(F.count("*").alias("raw"), F.count("good").alias("good")).collect()
     raw, good = sum(r["raw"] for r in rows), sum(r["good"] for r in rows)
     out = [0.0] * n
