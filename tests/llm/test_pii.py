@@ -80,3 +80,36 @@ def test_sanitised_keeps_rows_and_columns(spark):
     assert out.columns == df.columns
     assert sorted(((r.doc_id or 0, r.text) for r in out.collect()), key=str) == sorted(
         [(1, None), (2, ""), (2, ""), (0, "[EMAIL] [PHONE]"), (4, "call [CARD] now é")], key=str)
+
+
+def test_terms_beside_entities_that_occur_once(spark):
+    filler = ["ordinary words stand near many things number%d" % i for i in range(300)]
+    filler = [t + " " + "".join(chr(97 + i // 26 ** k % 26) for k in range(5)) for i, t in enumerate(filler)]
+    rows = ["ask Quixby at jo@x.org ordinary words", "ring +1 555 123 4567 with Zebulon"] + filler
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitised(df).collect()}
+    assert clean[0] == "ask Qu* at [EMAIL] ordinary words" and clean[1] == "ri* [PHONE] wi* Ze*"
+    assert all(clean[i] == t for i, t in enumerate(rows) if i > 1)
+
+
+def test_term_spans_on_the_tables(spark):
+    """Against a plain count: every entity there occurs once, so a term must be in one text only."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    words = lambda t: re.findall(r"[^\W\d_]+", t)
+    n = len(set(texts.values()))
+    count = collections.Counter(w for t in set(texts.values()) for w in {x.lower() for x in words(t)})
+    entities = collections.Counter(e for t in set(texts.values()) for e in {t[s:e] for _, s, e in base(t)})
+    assert set(entities.values()) == {1} and math.log(0.5 * n) / math.log(n) >= pii.GENERALISE > math.log(0.5 * n / 2) / math.log(n)
+    total = 0
+    for r in pii.spans(docs).collect():
+        t, near = texts[r.doc_id], set()
+        for _, s, e in base(t):
+            left, right = t[max(0, s - pii.CONTEXT):s], t[e:e + pii.CONTEXT]
+            left = re.sub(r"^[^\W\d_]+", "", left) if len(left) == pii.CONTEXT else left
+            right = re.sub(r"[^\W\d_]+$", "", right) if len(right) == pii.CONTEXT else right
+            near |= {w.lower() for w in words(left) + words(right) if len(w) >= pii.TERM_CHARS}
+        rare = {w for w in near if count[w] == 1}
+        assert r.n_term == sum(w.lower() in rare for w in words(t)), r.doc_id
+        total += r.n_term
+    assert total > 50

@@ -5,8 +5,10 @@ non-overlapping per kind; matches that fail a kind's test are dropped.  Each mat
 protected entity.  Words of at least ``TERM_CHARS`` letters within ``CONTEXT`` characters of an entity are
 terms that may reveal it.  Over all distinct texts, a term's disclosure of an entity is their
 pointwise mutual information divided by the entity's information content,
-ln(n(e,t) N / (n(e) n(t))) / ln(N / n(e)): 1 if who reads the term learns the entity.  Terms that meet an
-entity in at least ``SUPPORT`` distinct texts are generalised (to their first letters) if their
+ln(n(e,t) N / (n(e) n(t))) / ln(N / n(e)): 1 if who reads the term learns the entity.  A pair that meets in
+one distinct text only may do so by chance and counts as ``ONCE`` of a text, which bounds its disclosure from
+below: a rare word beside an entity that occurs once still passes, and the words' frequency keeps ordinary
+ones out.  Terms are generalised (to their first letters) if their
 disclosure is at least ``GENERALISE``, and removed from ``REMOVE`` up, in every text in which they stand
 near that entity, throughout the text.  Copies of one text count once, so that they are no evidence.
 
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm import job
 
-CONTEXT, TERM_CHARS, SUPPORT, GENERALISE, REMOVE, PART = 60, 4, 2, 0.85, 0.95, 16
+CONTEXT, TERM_CHARS, ONCE, GENERALISE, REMOVE, PART = 60, 4, 0.5, 0.85, 0.95, 16
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "[A-Za-z0-9._%+-]"
 PATTERNS = {
@@ -136,7 +138,8 @@ def disclosing(docs: DataFrame, base: DataFrame) -> DataFrame | None:
     n_texts = base.select("digest").distinct().count()
     n = F.lit(float(max(n_texts, 1)))
     entities = seen.select("digest", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT)
+    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_both"))
+    pairs = pairs.withColumn("n_both", F.when(F.col("n_both") == 1, ONCE).otherwise(F.col("n_both").cast("double")))
     # The most texts that may hold the term if it is still to disclose the entity.
     most = F.col("n_both") * n / F.col("n_entity") * F.pow(n / F.col("n_entity"), F.lit(-GENERALISE)) * (1 + 1e-9)
     pairs = pairs.join(entities, "entity").where(F.col("n_entity") < n).withColumn("most", most)
