@@ -102,3 +102,18 @@ def test_stage_and_empty_table(spark):
     assert out.columns == df.columns
     assert sorted((r.doc_id or -1, r.text or "") for r in out.collect()) == [(-1, "z"), (1, "a b c d"), (4, "")]
     assert simhash.groups(df.limit(0)).count() == 0
+
+
+def test_recall_does_not_fall_with_size(spark, monkeypatch):
+    """Every close pair that meets in a table of BITS bits is linked, however many signatures there are."""
+    monkeypatch.setattr(simhash, "MEAN_BUCKET", 2.0 ** -20, raising=False)  # as if there were millions of times as many
+    texts = corpus(300, 11)
+    df = spark.createDataFrame([(i, t, "x", "clash") for i, t in enumerate(texts)], SCHEMA)
+    rows = {r.doc_id: r.n_links for r in simhash.groups(df).collect()}
+    distinct, near = brute(texts)
+    sig, _ = simhash.signatures(pa.array(distinct))
+    keys = simhash.table_keys(sig, simhash.masks(simhash.TABLES, simhash.BITS))
+    meet = near & (keys[:, None] == keys[None]).any(axis=2)
+    place = {t: k for k, t in enumerate(distinct)}
+    assert meet.sum() > 50
+    assert all(rows[i] == meet[place[t]].sum() for i, t in enumerate(texts))

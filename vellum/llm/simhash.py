@@ -4,10 +4,10 @@ A text's signature has 512 bits: 256 of its set of distinct words (runs of lette
 ASCII) and 256 of that set joined with the set of its word pairs.  Two texts are near duplicates if
 their first halves differ in at most ``near`` bits and the whole in at most ``near_all``.
 Candidates come from ``tables`` hash tables; each is keyed by ``bits`` randomly sampled coordinates of
-the first half, and ``bits`` grows with the logarithm of the number of distinct signatures so that
-the mean bucket stays small.  A bucket of over ``cap`` signatures is divided by additional sampled
+the first half.  ``bits`` is the same at any size of the input, so that the chance to find a pair is too;
+larger inputs have larger buckets.  A bucket of over ``cap`` signatures is divided by additional sampled
 bits into blocks; each block is compared inside, and then with every other block of its bucket, so that
-no candidate is lost and the comparison's memory stays bounded.  Every candidate's distance is
+no candidate is lost and the comparison's memory stays bounded: pairs are counted block by block.  Every candidate's distance is
 verified.  Equal texts and equal signatures are merged before any comparison, so groups of copies
 cost nothing, and a bucket emits its pairs as a spanning forest plus a count for each node.
 
@@ -21,7 +21,6 @@ kept by ``stage``.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +31,6 @@ from pyspark.sql import functions as F
 from vellum.llm import graph, job, text
 
 TABLES, BITS, CAP, NEAR, NEAR_ALL = 32, 16, 2048, 40, 100
-#: Mean distinct signatures in a bucket beyond which more bits are sampled.
-MEAN_BUCKET = 64
 _SEED = 20_240_229
 
 
@@ -119,9 +116,14 @@ def _close(sig: np.ndarray, i: np.ndarray, j: np.ndarray, near: int, near_all: i
 
 def bucket_pairs(key: np.ndarray, sig: np.ndarray, cap: int, near: int, near_all: int) -> tuple[np.ndarray, np.ndarray]:
     """Verified pairs (i < j) of rows with equal keys; rows are sorted by key."""
+    parts = [(np.zeros(0, np.int64),) * 2, *pair_parts(key, sig, cap, near, near_all)]
+    return np.concatenate([i for i, _ in parts]), np.concatenate([j for _, j in parts])
+
+
+def pair_parts(key: np.ndarray, sig: np.ndarray, cap: int, near: int, near_all: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs in parts of bounded size."""
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.append(first, len(key)))
-    out_i, out_j = [], []
     small = np.repeat(size <= cap, size)
     live = np.flatnonzero(small)
     k = 1
@@ -129,28 +131,20 @@ def bucket_pairs(key: np.ndarray, sig: np.ndarray, cap: int, near: int, near_all
         live = live[live + k < len(key)]
         live = live[key[live + k] == key[live]]
         for at in range(0, len(live), 200_000):
-            i, j = _close(sig, part := live[at:at + 200_000], part + k, near, near_all)
-            out_i.append(i)
-            out_j.append(j)
+            yield _close(sig, part := live[at:at + 200_000], part + k, near, near_all)
         k += 1
     for f, n in zip(first[size > cap], size[size > cap]):
-        i, j = _large(sig[f:f + n], cap, near, near_all)
-        out_i.append(i + f)
-        out_j.append(j + f)
-    if not out_i:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    i, j = np.concatenate(out_i), np.concatenate(out_j)
-    return np.minimum(i, j), np.maximum(i, j)
+        for i, j in _large(sig[f:f + n], cap, near, near_all):
+            yield np.minimum(i, j) + f, np.maximum(i, j) + f
 
 
-def _large(sig: np.ndarray, cap: int, near: int, near_all: int) -> tuple[np.ndarray, np.ndarray]:
+def _large(sig: np.ndarray, cap: int, near: int, near_all: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All close pairs of one oversized bucket, block by block.  Additional bits order the rows so
     that the blocks hold alike signatures."""
     extra = np.random.default_rng(_SEED + 1).permutation(256)[:32]
     bits = np.unpackbits(np.ascontiguousarray(sig[:, :4]).view(np.uint8), axis=1)[:, extra]
     order = np.argsort(np.ascontiguousarray(np.packbits(bits, axis=1)).view(">u4").ravel(), kind="stable")
     s = sig[order]
-    out_i, out_j = [], []
     step = max(1, min(cap, 512))
     for a in range(0, len(s), step):
         for b in range(a, len(s), step):
@@ -160,14 +154,11 @@ def _large(sig: np.ndarray, cap: int, near: int, near_all: int) -> tuple[np.ndar
             k = i < j
             i, j = i[k], j[k]
             k = distance(s[i], s[j]) <= near_all
-            out_i.append(order[i[k]])
-            out_j.append(order[j[k]])
-    return np.concatenate(out_i), np.concatenate(out_j)
+            yield order[i[k]], order[j[k]]
 
 
-def forest(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the pairs."""
-    parent: dict[int, int] = {}
+def forest(i: np.ndarray, j: np.ndarray, parent: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that the pairs add to the spanning forest of ``parent``."""
 
     def find(x: int) -> int:
         while (p := parent.setdefault(x, x)) != x:
@@ -235,8 +226,6 @@ def groups(
     distinct = job.written(distinct, "simhash-texts")
     nodes = distinct.where("sig is not null").groupBy("sig").agg(F.min("rep").alias("node"), F.count("*").alias("n_texts"))
     nodes = job.written(nodes.where("node is not null"), "simhash-nodes")
-    n_nodes = nodes.count()
-    bits = max(bits, math.ceil(math.log2(max(1, n_nodes) / MEAN_BUCKET)))
     samples = masks(tables, bits)
     all_masks = np.zeros((tables, 4), np.uint64)
     for t, s in enumerate(samples):
@@ -260,25 +249,28 @@ def groups(
         for table in whole_groups(batches, "key"):
             key, t, node, weight = (table[c].to_numpy() for c in ("key", "t", "node", "n_texts"))
             sig = _matrix(table["sig"])
-            i, j = bucket_pairs(key, sig, cap, near, near_all)
-            if not len(i):
-                continue
-            # A pair counts only in the first table that has it.
-            x = sig[i, :4] ^ sig[j, :4]
-            new = np.ones(len(i), bool)
-            for k in range(tables):
-                new &= ~((t[i] > k) & ((x & all_masks[k]) == 0).all(axis=1))
-            i, j = i[new], j[new]
-            if not len(i):
-                continue
-            n = np.bincount(i, weight[j], len(key)) + np.bincount(j, weight[i], len(key))
+            n, parent, edges = np.zeros(len(key), np.int64), {}, []
+            for i, j in pair_parts(key, sig, cap, near, near_all):
+                if not len(i):
+                    continue
+                # A pair counts only in the first table that has it.
+                x = sig[i, :4] ^ sig[j, :4]
+                new = np.ones(len(i), bool)
+                for k in range(tables):
+                    new &= ~((t[i] > k) & ((x & all_masks[k]) == 0).all(axis=1))
+                i, j = i[new], j[new]
+                np.add.at(n, i, weight[j])
+                np.add.at(n, j, weight[i])
+                edges.append(forest(i, j, parent))
             rows = np.flatnonzero(n)
-            a, b = forest(i, j)
+            if not len(rows):
+                continue
+            a, b = (np.concatenate(x) for x in zip(*edges))
             yield pa.record_batch(
                 [
                     pa.array(np.concatenate([node[rows], node[a]])),
                     pa.array(np.concatenate([np.full(len(rows), -1), node[b]]), mask=np.arange(len(rows) + len(a)) < len(rows)),
-                    pa.array(np.concatenate([n[rows].astype(np.int64), np.zeros(len(a), np.int64)])),
+                    pa.array(np.concatenate([n[rows], np.zeros(len(a), np.int64)])),
                 ],
                 names=["u", "v", "n"],
             )
