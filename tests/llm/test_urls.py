@@ -44,3 +44,15 @@ def test_against_a_loop(spark, monkeypatch, limit):
     assert got == sorted((i, str(u), str(t), plain(u, t, entries)) for i, u, t in caps)
     assert urls.decide(df.limit(0), lists).count() == 0
     assert not any(r.blocked for r in urls.decide(df, lists.limit(0)).collect())
+
+
+@pytest.mark.parametrize("limit", [job.BROADCAST_BYTES, -1])
+def test_deep_hosts(spark, monkeypatch, limit):
+    monkeypatch.setattr(job, "BROADCAST_BYTES", limit)
+    deep = ".".join("l%d" % i for i in range(40)) + ".a.com"
+    parents = [deep.split(".", k)[-1] for k in (0, 5, 33, 34, 35, 40)]
+    entries = [(d, DAY + datetime.timedelta(hours=k), "block" if k % 2 else "allow") for k, d in enumerate(reversed(parents))]
+    caps = [(i, f"https://{h}/p", DAY + datetime.timedelta(hours=i % 8)) for i, h in enumerate(h for h in [*parents, "x." + deep, "xl9." + parents[2]] for _ in range(8))]
+    df = spark.createDataFrame(caps, "page_id bigint, url string, fetched_at timestamp")
+    got = {r.page_id: r.blocked for r in urls.decide(df, spark.createDataFrame(entries, "domain string, at timestamp, action string")).collect()}
+    assert got == {i: plain(u, t, entries) for i, u, t in caps} and len(set(got.values())) == 2

@@ -7,7 +7,8 @@ time) is evaluated against the entries of its host and of the host's parent doma
 active when it was fetched, by an as-of join; the entry of the longest domain decides, of equal
 domains and times ``block`` before ``allow``, and a host without an active entry is allowed.
 
-A capture's key is one of at most ``MAX_LABELS`` domains, so a host has few candidate rows; captures
+A capture's key is one of its host's domains of at most as many labels as the longest listed one has, which loses
+no match; captures
 are first reduced to distinct (host, time) pairs and a hot domain's pairs are salted, the list being
 repeated for each salt only where a domain is hot.  The list is broadcast if its files are small.
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm import job
 
-MAX_LABELS, SALTS, HOT = 8, 16, 100_000
+SALTS, HOT = 16, 100_000
 HOST = "^(?i:[a-z][a-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:@]+)"
 
 
@@ -39,10 +40,10 @@ def intervals(entries: DataFrame) -> DataFrame:
     return one.withColumn("to_ts", F.lead("from_ts").over(order)).select("domain", "from_ts", "to_ts", "action")
 
 
-def _domains(host: Column) -> Column:
+def _domains(host: Column, most: int) -> Column:
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    return F.transform(F.sequence(F.lit(1), F.least(n, F.lit(MAX_LABELS))), lambda k: F.array_join(F.slice(labels, n - k + 1, k), "."))
+    return F.transform(F.sequence(F.lit(1), F.least(n, F.lit(most))), lambda k: F.array_join(F.slice(labels, n - k + 1, k), "."))
 
 
 def decide(captures: DataFrame, entries: DataFrame) -> DataFrame:
@@ -51,8 +52,9 @@ def decide(captures: DataFrame, entries: DataFrame) -> DataFrame:
     spark = captures.sparkSession
     captures = captures.select("page_id", "url", "fetched_at", host_of(F.col("url")).alias("host"))
     asked = captures.where("host is not null and fetched_at is not null").select("host", "fetched_at").distinct()
-    asked = asked.select("host", "fetched_at", F.explode(_domains(F.col("host"))).alias("domain"))
     listed = job.written(intervals(entries), "url-intervals")
+    most = listed.agg(F.max(F.size(F.split("domain", r"\.")))).first()[0] or 1
+    asked = asked.select("host", "fetched_at", F.explode(_domains(F.col("host"), most)).alias("domain"))
     small = job.size_of(listed) <= job.BROADCAST_BYTES
     if small:
         joined = asked.join(F.broadcast(listed), "domain")
