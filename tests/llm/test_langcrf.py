@@ -80,3 +80,11 @@ def test_stage_drops_only_texts_without_language(spark, docs):
     extra = spark.createDataFrame([(90001, None, "en", "s", 0), (90002, "...", "en", "s", 3)], docs.schema)
     out = langcrf.stage(spark, docs.union(extra), "")
     assert out.columns == docs.columns and out.count() == docs.count()
+
+
+def test_every_language_is_learned(spark):
+    """More languages than 64, of one document each."""
+    ids = [i for i in range(200) if text.crc_of_id(i) % 5][:80]
+    rows = [(i, "".join(chr(97 + k // 26 ** j % 26) for j in range(3)) * 2 + " word", "lang%02d" % k) for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert langcrf.fit(df, 1).langs == sorted(r[2] for r in rows)

@@ -10,7 +10,8 @@ At prediction, forward-backward gives each word's marginals; a document's langua
 largest mean marginal, which is its score.
 
 The model is fitted on at most ``DOCS_PER_LANG`` documents of each language (those of the least hash
-of doc_id among documents that are not held out), whole texts; every document is predicted.  Chains of
+of doc_id among documents that are not held out), whole texts, however many languages there are; every
+document is predicted.  Chains of
 a long text are cut every ``CHAIN`` words, so memory doesn't grow with a text's length.
 
 Null texts, and texts without a letter, get ``und`` with score 0, as do all texts if there is nothing
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm import job, text
 
-DOCS_PER_LANG, MAX_LANGS, BUCKETS, CHAIN, ROUNDS = 150, 64, 1 << 15, 96, 40
+DOCS_PER_LANG, BUCKETS, CHAIN, ROUNDS = 150, 1 << 15, 96, 40
 #: Occurrences in the sample, and share of them in one language, that put a word into a lexicon.
 LEX_COUNT, LEX_SHARE = 3, 0.9
 UNKNOWN = "und"
@@ -225,9 +226,9 @@ def fit(docs: DataFrame, per_lang: int = DOCS_PER_LANG) -> Model | None:
     """Needs doc_id, text and lang.  Two scans: ids and languages, then the chosen texts."""
     usable = docs.where("doc_id is not null and lang is not null and text is not null").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("doc_id", "lang").withColumn("k", F.row_number().over(rank)).where(F.col("k") <= per_lang).select("doc_id").limit(per_lang * MAX_LANGS)
-    ids = [r[0] for r in chosen.collect()]
-    rows = usable.where(F.col("doc_id").isin(ids)).select("doc_id", "text", "lang").collect() if ids else []
+    chosen = usable.select("doc_id", "lang").withColumn("k", F.row_number().over(rank)).where(F.col("k") <= per_lang).select("doc_id")
+    chosen = job.written(chosen.distinct(), "langcrf-chosen")
+    rows = usable.join(job.maybe_broadcast(chosen), "doc_id", "left_semi").select("doc_id", "text", "lang").collect()
     rows = sorted(rows, key=lambda r: (r.doc_id, r.lang, r.text))
     return train([r.text for r in rows], [r.lang for r in rows])
 
