@@ -7,7 +7,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from vellum.llm import rules
+from vellum.llm import job, rules
 
 SF = "/root/testdata/sf0.001"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -62,3 +62,18 @@ def test_labels_are_separated(spark):
     rows = rules.op4_ngram_ratio(spark, SF).join(labels, "doc_id").where("not base_failed").collect()
     assert all(r.kept for r in rows if r.quality == 1)
     assert not any(r.kept for r in rows if r.quality == 0)
+
+
+def test_all_good_documents_are_counted(spark, monkeypatch):
+    labels = spark.range(25_000).selectExpr("id as doc_id", "cast(id % 25 > 0 as int) as quality")
+    trusted = rules.trusted_ids(labels.union(labels.limit(3)))
+    assert trusted.count() == 24_000
+    docs = spark.range(25_000).selectExpr("id as doc_id", "if(id % 25 > 0, 'good', 'poor') as text")
+    docs = docs.union(spark.createDataFrame([(None, "good")], "doc_id bigint, text string"))
+    buckets = {w: spark.range(1).select(F.pmod(F.xxhash64(F.lit(w)), F.lit(1 << 14))).first()[0] for w in ("good", "poor")}
+    for limit in (job.BROADCAST_BYTES, -1):
+        monkeypatch.setattr(job, "BROADCAST_BYTES", limit)
+        got = rules.ratios(docs, trusted)
+        for w, r, g in (("good", 24_001, 24_000), ("poor", 1000, 0)):
+            share = r / 25_001
+            assert math.isclose(got[buckets[w]], math.log((g + rules.ALPHA * share) / (24_000 + rules.ALPHA) / share))

@@ -6,9 +6,8 @@ Two multinomials over the buckets, of the trusted documents and of all documents
 bucket a log-likelihood ratio (smoothed by ``ALPHA`` of the raw distribution).  A text's score is the
 mean over its n-grams; it is kept if the base rules let it pass and the score is at least ``THRESHOLD``.
 
-Raw counts are made of all documents.  Trusted are documents labelled as good, at most ``TRUSTED`` of
-them, those of the least hash of doc_id, which bounds what is broadcast.  The ratios are one literal of
-BUCKETS numbers.
+Raw counts are made of all documents, trusted ones of all documents labelled as good.  Their ids are
+broadcast if their files are small, else joined by a shuffle.  The ratios are one literal of BUCKETS numbers.
 
 Only DataFrame and SQL functions run.  Null texts count as empty; they fail the base rules, as do all
 texts of under 50 words.  Rows of null doc_id are never trusted.  Without trusted documents all ratios
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm import job
 
-BUCKETS, TAIL, ALPHA, TRUSTED, THRESHOLD = 1 << 14, 4, 2000.0, 20_000, -0.5
+BUCKETS, TAIL, ALPHA, THRESHOLD = 1 << 14, 4, 2000.0, -0.5
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 
@@ -65,8 +64,11 @@ def repeated(df: DataFrame) -> DataFrame:
 
 
 def ratios(docs: DataFrame, trusted: DataFrame, n: int = BUCKETS) -> list[float]:
-    """The log-likelihood ratio of each bucket.  docs: doc_id, text; trusted: doc_id, of bounded size."""
-    marked = docs.select("doc_id", "text").join(F.broadcast(trusted.select("doc_id", F.lit(1).alias("good"))), "doc_id", "left")
+    """The log-likelihood ratio of each bucket.  docs: doc_id, text; trusted: doc_id."""
+    ids = job.written(trusted.select("doc_id").distinct(), "rules-trusted")
+    # By hash, if not by broadcast: the ids are the small side, and texts needn't be sorted.
+    ids = F.broadcast(ids) if job.size_of(ids) <= job.BROADCAST_BYTES else ids.hint("shuffle_hash")
+    marked = docs.select("doc_id", "text").join(ids.withColumn("good", F.lit(1)), "doc_id", "left")
     # The outer form: for the inner one Spark infers a filter that evaluates the n-grams a second time.
     flat = grams(marked.select("good", words(F.col("text")).alias("words")), n).select("good", F.explode_outer("grams").alias("g")).where("g is not null")
     rows = flat.groupBy("g").agg(F.count("*").alias("raw"), F.count("good").alias("good")).collect()
@@ -103,9 +105,8 @@ def verdicts(docs: DataFrame, ratio: list[float], threshold: float = THRESHOLD)
     )
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
-    good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1")
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id")
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    return labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
 
 
 def op4_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
