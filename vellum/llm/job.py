@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Partitions of a scan that one task of summed() takes, and tasks whose tables are added up at once.
+SCANS_A_TASK, FAN_IN = 4, 64
 #: Bytes of a materialised table up to which it may be broadcast.
 BROADCAST_BYTES = 8 << 20
 _OWN: dict[str, str] = {}
@@ -67,8 +69,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def summed(df: DataFrame, columns: list[str], fill, shape: tuple[int, int], slice_rows: int = 1024):
     """The sum over all rows of tables of one fixed shape (float64).  ``fill(total, batch)`` adds a batch to
-    a task's table.  Tasks are at most twice the cores; tables travel in slices of rows, and what the
-    driver gets is one table, whatever the input."""
+    a task's table.  A task takes a few partitions of the scan, so it doesn't grow with the input; tables travel in
+    slices of rows and are added up in a tree, and what the driver gets is one table, whatever the input."""
     import numpy as np
     import pyarrow as pa
 
@@ -97,9 +99,17 @@ def summed(df: DataFrame, columns: list[str], fill, shape: tuple[int, int], slic
         yield pa.record_batch([pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["slice", "sums"])
 
     cores = max(2, spark.sparkContext.defaultParallelism)
-    parts = df.select(*columns).coalesce(2 * cores).mapInArrow(text.tidy(partial), kind)
+    scan = df.select(*columns)
+    tasks = max(2 * cores, -(-scan.rdd.getNumPartitions() // SCANS_A_TASK))
+    parts = scan.coalesce(tasks).mapInArrow(text.tidy(partial), kind)
+    slices = -(-rows // slice_rows)
+    while tasks > FAN_IN:
+        tasks = -(-tasks // FAN_IN)
+        salted = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(tasks)))
+        parts = salted.repartition(min(slices * tasks, 4 * cores), "slice", "salt").select("slice", "sums").mapInArrow(add, kind)
+    parts = parts.repartition(min(slices, cores), "slice").mapInArrow(add, kind)
     out = np.zeros(shape)
-    for r in parts.repartition(min(-(-rows // slice_rows), cores), "slice").mapInArrow(add, kind).collect():
+    for r in parts.collect():
         at = r["slice"] * slice_rows
         got = np.frombuffer(r["sums"]).reshape(-1, width)
         out[at:at + len(got)] += got

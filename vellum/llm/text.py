@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -120,21 +121,89 @@ def words(col: pa.Array, member: np.ndarray = ALPHA, lower: bool = True) -> Code
     raw, off = buffers(col)
     if not len(raw):
         return Coded(np.zeros(0, np.int64), np.zeros(len(off), np.int64), [])
-    inside = member[raw]
-    first = inside.copy()
-    first[1:] &= ~inside[:-1]
-    bounds = off[:-1][off[:-1] < len(raw)]
-    first[bounds] = inside[bounds]
-    starts = np.flatnonzero(first)
-    kept = raw[inside]
+    edges = _edges(raw, off, member)
+    starts, ends = edges[0::2], edges[1::2]
+    kept = raw[member[raw]]
     if lower:
         kept = LOWER[kept]
-    inside[:-1] &= ~inside[1:] | first[1:]  # now: the last byte of each run
-    lengths = np.flatnonzero(inside) + 1 - starts
+    lengths = ends - starts
     ptr = np.searchsorted(starts, off)
     return _code(kept, np.concatenate([[0], np.cumsum(lengths)]), ptr)
 
 
+class Hashed:
+    """Pieces of a batch as 64-bit hashes: ``hashes`` of all pieces in order, and ``ptr`` (documents + 1) into them."""
+
+    __slots__ = ("hashes", "ptr")
+
+    def __init__(self, hashes: np.ndarray, ptr: np.ndarray):
+        self.hashes, self.ptr = hashes, ptr
+
+    @property
+    def docs(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.ptr) - 1), np.diff(self.ptr))
+
+
+def _edges(raw: np.ndarray, off: np.ndarray, member: np.ndarray) -> np.ndarray:
+    """Starts and ends, in turn, of the maximal runs of ``member`` bytes; a document's bound ends a run."""
+    inside = np.frombuffer(raw.tobytes().translate(member.tobytes()), bool)
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    edges = np.concatenate([[0] if inside[0] else [], edges, [len(raw)] if inside[-1] else []]).astype(np.int64)
+    bounds = np.unique(off[(off > 0) & (off < len(raw))])
+    bounds = np.repeat(bounds[inside[bounds] & inside[bounds - 1]], 2)
+    return np.insert(edges, np.searchsorted(edges, bounds), bounds)
+
+
+_STRETCH, _BASE = 1 << 16, 0x9E3779B97F4A7C55
+_M64 = (1 << 64) - 1
+
+
+@cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of _BASE and of its inverse modulo 2**64, for one stretch of bytes."""
+    with np.errstate(over="ignore"):
+        return tuple(np.append(np.uint64(1), np.full(_STRETCH - 1, b, np.uint64)).cumprod() for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+
+
+@cache
+def _byte_values(lower: bool) -> np.ndarray:
+    v = mix64(np.arange(1, 257, dtype=np.uint64), 31)
+    return v[LOWER] if lower else v
+
+
+def hashed_words(col: pa.Array, member: np.ndarray = ALPHA, lower: bool = True) -> Hashed:
+    """Like :func:`words`, but hashes of all words in place of the distinct ones: a polynomial of the bytes modulo
+    2**64, from running sums of a stretch of bytes at a time, finally mixed."""
+    raw, off = buffers(col)
+    if not len(raw):
+        return Hashed(np.zeros(0, np.uint64), np.zeros(len(off), np.int64))
+    edges = _edges(raw, off, member)
+    starts = edges[0::2]
+    up, down = _powers()
+    value = _byte_values(lower)
+    sums = np.empty(len(edges), np.uint64)  # of the bytes before each edge
+    run = np.zeros(_STRETCH + 1, np.uint64)
+    jump, at = 1, np.searchsorted(edges, np.arange(0, len(raw) + _STRETCH + 1, _STRETCH))
+    with np.errstate(over="ignore"):
+        for k in range(-(-len(raw) // _STRETCH)):
+            part = value[raw[k * _STRETCH:(k + 1) * _STRETCH]]
+            part *= up[:len(part)]
+            part *= np.uint64(jump)
+            run[0] = run[_STRETCH] if k else 0
+            np.cumsum(part, out=run[1:len(part) + 1])
+            run[1:len(part) + 1] += run[0]
+            # An edge at the very end of the texts belongs to the last stretch.
+            to = at[k + 1] if (k + 1) * _STRETCH < len(raw) else len(edges)
+            sums[at[k]:to] = run[edges[at[k]:to] - k * _STRETCH]
+            jump = jump * pow(_BASE, _STRETCH, 1 << 64) & _M64
+        h = sums[1::2] - sums[0::2]
+        h *= down[starts % _STRETCH]
+        back = pow(pow(_BASE, _STRETCH, 1 << 64), -1, 1 << 64)
+        scale = np.array([pow(back, k, 1 << 64) for k in range(-(-len(raw) // _STRETCH))], np.uint64)
+        h *= scale[starts // _STRETCH]
+    return Hashed(mix64(h, 5), np.searchsorted(starts, off))
+
+
 # Classes of bytes: 0 white space or control, 1 letter, 2 digit, 3 other sign, 4 apostrophe, 5 part of a longer character.
 _CLASS = np.full(256, 3, np.uint8)
 _CLASS[:33] = 0
