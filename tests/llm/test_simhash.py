@@ -68,25 +68,56 @@ def test_groups_against_all_pairs(spark):
         assert rows[i].n_copies == texts.count(t)
 
 
-def test_oversized_buckets_lose_nothing():
+@pytest.mark.parametrize("cap, dense", [(1 << 17, 1 << 13), (40, 7), (1 << 17, 7), (5, 1 << 13)])
+def test_oversized_buckets_lose_nothing(spark, cap, dense):
+    """Every close pair that meets in a table counts once, however buckets are cut."""
     rng = np.random.default_rng(1)
-    base = rng.integers(0, 1 << 63, (1, 8), dtype=np.uint64)
-    sig = np.repeat(base, 300, 0)
-    for _ in range(6):
+    base = rng.integers(0, 1 << 63, (3, 8), dtype=np.uint64)
+    sig = np.concatenate([np.repeat(base[:1], 240, 0), np.repeat(base[1:], 30, 0)])
+    for _ in range(9):
         sig[np.arange(300), rng.integers(0, 8, 300)] ^= np.uint64(1) << rng.integers(0, 63, 300).astype(np.uint64)
-    key = np.repeat([1, 2], [40, 260])
-    small = set(zip(*(x.tolist() for x in simhash.bucket_pairs(key, sig, 10_000, 9, 11))))
-    large = set(zip(*(x.tolist() for x in simhash.bucket_pairs(key, sig, 7, 9, 11))))
-    assert small == large and small
-
-
-def test_whole_groups():
-    keys = np.sort(np.random.default_rng(0).integers(0, 9, 60))
-    batches = [pa.record_batch([pa.array(keys[a:b])], names=["k"]) for a, b in ((0, 3), (3, 4), (4, 30), (30, 31), (31, 60))]
-    got = list(simhash.whole_groups(iter(batches), "k"))
-    assert np.array_equal(np.concatenate([t["k"].to_numpy() for t in got]), keys)
-    seen = [set(t["k"].to_pylist()) for t in got]
-    assert sum(map(len, seen)) == len(set().union(*seen))
+    tables, near, near_all = simhash.tables_for(300), 9, 14
+    bits = simhash._bits(sig)
+    shared = tables.shared_keys(bits)
+    meet = np.zeros((300, 300), bool)
+    for g in range(shared.shape[1]):
+        for u in range(simhash.IN_GROUP):
+            own = tables.own_keys(bits, np.full(300, g * simhash.IN_GROUP + u))
+            meet |= (shared[:, None, g] == shared[None, :, g]) & (own[:, None] == own[None])
+    close = (simhash.distance(sig[:, None, :4], sig[None, :, :4]) <= near) & (simhash.distance(sig[:, None], sig[None]) <= near_all)
+    weight = rng.integers(1, 4, 300)
+    np.fill_diagonal(meet, False)
+    nodes = spark.createDataFrame([(i, int(w), bytearray(x.tobytes())) for i, (w, x) in enumerate(zip(weight, sig))], "node bigint, n_texts bigint, sig binary")
+    rows = simhash.links_of(nodes, tables, cap, dense, near, near_all).collect()
+    got = np.zeros(300, np.int64)
+    for r in rows:
+        if r.v is None:
+            got[r.u] += r.n
+    assert np.array_equal(got, (meet & close) @ weight) and got.sum() > 1000
+    label = list(range(300))
+    for r in rows:
+        if r.v is not None:
+            assert meet[r.u, r.v] and close[r.u, r.v]
+            a, b = label[r.u], label[r.v]
+            label = [a if x == b else x for x in label]
+    assert all(label[i] == label[j] for i, j in zip(*np.nonzero(meet & close)))
+
+
+def test_groups_of():
+    rng = np.random.default_rng(0)
+    for cap in (3, 10, 1000):
+        keys = np.sort(rng.integers(0, 9, 80))
+        cuts = [0, *np.sort(rng.integers(0, 80, 6)), 80]
+        batches = [pa.record_batch([pa.array(keys[a:b], pa.int64()), pa.array(np.arange(a, b))], names=["k", "i"]) for a, b in zip(cuts, cuts[1:])]
+        got = list(simhash.groups_of(iter(batches), "k", cap))
+        assert np.array_equal(np.concatenate([t["i"].to_numpy() for t, _ in got]), np.arange(80))
+        for key, n in zip(*np.unique(keys, return_counts=True)):
+            own = [(t, number) for t, number in got if key in t["k"].to_pylist()]
+            if n <= cap:
+                assert len(own) == 1 and own[0][1] is None
+            else:
+                first = np.flatnonzero(keys == key)[0]
+                assert all(set(t["k"].to_pylist()) == {key} and t["i"][0].as_py() - first == number for t, number in own)
 
 
 def test_components(spark):
@@ -96,24 +127,36 @@ def test_components(spark):
 
 
 def test_stage_and_empty_table(spark):
-    rows = [(3, "a b c d", "x", "y"), (1, "a b c d", "x", "y"), (1, "a b c d", "x", "y"), (4, None, "x", "y"), (None, "z", "x", "y")]
-    df = spark.createDataFrame(rows, SCHEMA)
+    rows = [(3, "a b c d", "x", "y"), (1, "a b c d", "x", "y"), (1, "a b c d", "x", "y"), (4, None, "x", "y"), (4, None, "x", "y"), (None, "z", "x", "y")]
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as digest", "2 as row_", "3 as sig")
     out = simhash.stage(spark, df, "")
     assert out.columns == df.columns
     assert sorted((r.doc_id or -1, r.text or "") for r in out.collect()) == [(-1, "z"), (1, "a b c d"), (4, "")]
-    assert simhash.groups(df.limit(0)).count() == 0
-
-
-def test_recall_does_not_fall_with_size(spark, monkeypatch):
-    """Every close pair that meets in a table of BITS bits is linked, however many signatures there are."""
-    monkeypatch.setattr(simhash, "MEAN_BUCKET", 2.0 ** -20, raising=False)  # as if there were millions of times as many
-    texts = corpus(300, 11)
-    df = spark.createDataFrame([(i, t, "x", "clash") for i, t in enumerate(texts)], SCHEMA)
-    rows = {r.doc_id: r.n_links for r in simhash.groups(df).collect()}
-    distinct, near = brute(texts)
-    sig, _ = simhash.signatures(pa.array(distinct))
-    keys = simhash.table_keys(sig, simhash.masks(simhash.TABLES, simhash.BITS))
-    meet = near & (keys[:, None] == keys[None]).any(axis=2)
-    place = {t: k for k, t in enumerate(distinct)}
-    assert meet.sum() > 50
-    assert all(rows[i] == meet[place[t]].sum() for i, t in enumerate(texts))
+    assert simhash.groups(df.limit(0)).count() == 0 and simhash.stage(spark, df.limit(0), "").count() == 0
+
+
+def test_stage_keeps_other_texts_of_a_repeated_id(spark, monkeypatch):
+    rows = [(1, "alpha beta gamma"), (1, "completely different words stand here"), (2, "alpha beta gamma"), (None, "alpha beta gamma"), (None, "only here"), (None, "only here")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = [("None", "only here"), ("1", "alpha beta gamma"), ("1", "completely different words stand here")]
+    assert sorted((str(r.doc_id), r.text) for r in simhash.stage(spark, df, "").collect()) == sorted(want)
+    # The same rows if texts of many rows are joined apart.
+    whole = sorted(map(str, simhash.groups(df).collect()))
+    monkeypatch.setattr(simhash, "HOT", 2)
+    assert sorted(map(str, simhash.groups(df).collect())) == whole and len(whole) == 6
+
+
+@pytest.mark.parametrize("n", [1, 10**6, 10**7, 10**9, 10**10])
+def test_recall_does_not_fall_with_size(n):
+    """Random pairs at a given distance meet as often as stated, by the tables made for n signatures."""
+    t = simhash.tables_for(n)
+    shared = len(t.shared[0])
+    assert n / 2**shared <= simhash.MEAN_BUCKET and simhash.chance(shared, len(t.shared), simhash.NEAR) >= simhash.RECALL
+    rng = np.random.default_rng(2)
+    for d, least in ((simhash.NEAR, 0.87), (24, 0.98)):
+        met = 0
+        for _ in range(400):
+            x = np.zeros(256, np.uint8)
+            x[rng.permutation(256)[:d]] = 1
+            met += any(not x[t.shared[g]].any() and any(not x[o].any() for o in t.own[g]) for g in range(len(t.shared)))
+        assert met >= least * 400
