@@ -3,20 +3,23 @@
 Base spans are e-mail addresses, IPv4 addresses, card numbers and phone numbers, found leftmost and
 non-overlapping per kind; matches that fail a kind's test are dropped.  Each matched string is a
 protected entity.  Words of at least ``TERM_CHARS`` letters within ``CONTEXT`` characters of an entity are
-terms that may reveal it.  Over all distinct texts, a term's disclosure of an entity is their
+terms that may reveal it; what stands further away isn't looked at.  Over all distinct texts, a term's disclosure of an entity is their
 pointwise mutual information divided by the entity's information content,
-ln(n(e,t) N / (n(e) n(t))) / ln(N / n(e)): 1 if who reads the term learns the entity.  A pair that meets in
+ln(n(e,t) N / (n(e) n(t))) / ln(N / n(e)): 1 if who reads the term learns the entity.  n(e,t) counts the texts where the
+term stands beside the entity and n(t) those where it stands at all, so that n(e,t) / n(t) is how likely a reader of the
+term is right to think of the entity.  A pair that meets in
 one distinct text only may do so by chance and counts as ``ONCE`` of a text, which bounds its disclosure from
 below: a rare word beside an entity that occurs once still passes, and the words' frequency keeps ordinary
 ones out.  Terms are generalised (to their first letters) if their
-disclosure is at least ``GENERALISE``, and removed from ``REMOVE`` up, in every text in which they stand
-near that entity, throughout the text.  Copies of one text count once, so that they are no evidence.
+disclosure is at least ``GENERALISE``, and removed from ``REMOVE`` up: throughout every text in which they stand
+near that entity, and in all texts of the corpus if who reads the term is right more often than not (``SURE``).
+Copies of one text count once, so that they are no evidence.
 
 The patterns are possessive and anchored to the starts of runs, which finds the same matches as the plain
 ones in linear time and without recursion.  Positions are code points, ends exclusive.
 
 Only DataFrame and SQL functions run.  Null texts count as empty.  Repeated rows and null ids are kept.
-Texts without a base span never change.  Extra columns are ignored, or kept by ``stage``.
+Texts without a base span change only by terms that disclose an entity anywhere.  Extra columns are ignored, or kept by ``stage``.
 """
 
 from __future__ import annotations
@@ -26,7 +29,9 @@ from pyspark.sql import functions as F
 
 from vellum.llm import job
 
-CONTEXT, TERM_CHARS, ONCE, GENERALISE, REMOVE, PART = 60, 4, 0.5, 0.85, 0.95, 16
+CONTEXT, TERM_CHARS, ONCE, GENERALISE, REMOVE, SURE, PART = 60, 3, 0.5, 0.85, 0.95, 0.5, 16
+#: Matches of a text that are placed at once.
+RUN = 256
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "[A-Za-z0-9._%+-]"
 PATTERNS = {
@@ -69,8 +74,9 @@ def _valid(kind: str, m: Column) -> Column:
 
 
 def _located(matches: Column, gaps: Column, valid) -> Column:
-    """Spans of the valid matches, from the matches and what stands between them."""
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast(SPANS).alias("out"))
+    """Spans of the valid matches, from the matches and what stands between them.  They are placed in runs, as
+    appending to one long array would take the square of its length."""
+    none = F.array().cast(SPANS)
 
     def step(acc: Column, x: Column) -> Column:
         s = acc["pos"] + F.length(x["gap"])
@@ -78,8 +84,14 @@ def _located(matches: Column, gaps: Column, valid) -> Column:
         span = F.array(F.struct(s.alias("s"), e.alias("e")))
         return F.struct(e.alias("pos"), F.when(valid(x["m"]), F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("m")))
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+    def run(acc: Column, part: Column) -> Column:
+        start = F.struct(acc["pos"].alias("pos"), none.alias("out"))
+        return F.aggregate(part, start, step, lambda own: F.struct(own["pos"].alias("pos"), F.concat(acc["out"], own["out"]).alias("out")))
+
+    n = F.size(matches)
+    pairs = F.zip_with(F.slice(gaps, 1, n), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("m")))
+    parts = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(RUN)), lambda k: F.slice(pairs, k, RUN))
+    return F.aggregate(parts, F.struct(F.lit(0).alias("pos"), none.alias("out")), run, lambda acc: acc["out"])
 
 
 def with_spans(df: DataFrame) -> DataFrame:
@@ -152,21 +164,25 @@ def disclosing(docs: DataFrame, base: DataFrame) -> DataFrame | None:
     keyed = docs.select(text.alias("text"), _digest(text).alias("digest"))
 
     def texts_with(terms: DataFrame, rows: DataFrame) -> DataFrame:
-        """Distinct texts among the rows that hold each term."""
+        """(digest, term) for the distinct texts among the rows that hold each term."""
         word = F.explode(F.array_distinct(F.split(F.lower("text"), rf"[^{LETTERS}]+", -1))).alias("term")
-        held = rows.select("digest", word).join(job.maybe_broadcast(terms.select("term")), "term", "left_semi")
-        return held.distinct().groupBy("term").agg(F.count("*").alias("n_term"))
+        return rows.select("digest", word).join(job.maybe_broadcast(terms.select("term")), "term", "left_semi").distinct()
 
     # A part of the texts gives a lower bound, which rules out frequent words before all texts are counted: it loses no
     # term that could pass, and what is counted in full has few texts each.
-    low = texts_with(terms, keyed.where(F.pmod(F.xxhash64("digest"), F.lit(PART)) == 0))
+    count = F.count("*").alias("n_term")
+    low = texts_with(terms, keyed.where(F.pmod(F.xxhash64("digest"), F.lit(PART)) == 0)).groupBy("term").agg(count)
     terms = job.written(terms.join(low, "term", "left").where("n_term is null or n_term <= most").select("term"), "pii-rare-terms")
-    words = texts_with(terms, keyed)
-    told = pairs.join(words, "term")
+    held = job.written(texts_with(terms, keyed), "pii-held")
+    told = pairs.join(held.groupBy("term").agg(count), "term")
     content = F.log(n / F.col("n_entity"))
     share = F.when(content > 0, F.log(F.col("n_both") * n / (F.col("n_entity") * F.col("n_term"))) / content).otherwise(0.0)
-    told = told.select("entity", "term", F.round(share, 9).alias("share")).where(F.col("share") >= GENERALISE)
-    hide = near.join(told, ["entity", "term"]).groupBy("digest", "term").agg(F.max(F.col("share") >= REMOVE).alias("remove"))
+    told = told.select("entity", "term", F.round(share, 9).alias("share"), (F.col("n_both") >= SURE * F.col("n_term")).alias("sure"))
+    told = job.written(told.where(F.col("share") >= GENERALISE), "pii-told")
+    remove = (F.col("share") >= REMOVE).alias("remove")
+    beside = near.join(told, ["entity", "term"]).select("digest", "term", remove)
+    anywhere = held.join(told.where("sure").groupBy("term").agg(F.max("share").alias("share")), "term").select("digest", "term", remove)
+    hide = beside.unionByName(anywhere).groupBy("digest", "term").agg(F.max("remove").alias("remove"))
     hide = job.written(hide.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("term", "remove"))).alias("terms")), "pii-hide")
     return None if hide.isEmpty() else hide
 
@@ -206,7 +222,8 @@ def spans(docs: DataFrame) -> DataFrame:
 
 def sanitised(docs: DataFrame) -> DataFrame:
     """The same rows and columns, with base spans replaced by their kind in brackets, and terms removed or
-    generalised.  Where spans of kinds overlap, they are replaced together by the first one's."""
+    generalised.  Where spans of kinds overlap, they are replaced together by the first one's;
+    a base span comes before a term that starts with it."""
     base = job.written(found(docs), "pii")
     hide = disclosing(docs, base)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
@@ -223,12 +240,12 @@ def sanitised(docs: DataFrame) -> DataFrame:
     work = work.withColumn("term", F.coalesce(_located(F.col("m_"), F.col("g_"), lambda m: F.lit(True)), F.array().cast(SPANS)))
 
     def tagged(kind: str) -> Column:
-        return F.transform(kind, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(f"[{kind.upper()}]").alias("by")))
+        return F.transform(kind, lambda x: F.struct(x["s"].alias("s"), F.lit(0).alias("order"), x["e"].alias("e"), F.lit(f"[{kind.upper()}]").alias("by")))
 
     def hidden(x: Column) -> Column:
         word = F.substr("text", x["s"] + 1, x["e"] - x["s"])
         gone = F.exists("terms", lambda t: (t["term"] == F.lower(word)) & t["remove"])
-        return F.struct(x["s"].alias("s"), x["e"].alias("e"), F.when(gone, F.lit("[TERM]")).otherwise(F.concat(F.substr(word, F.lit(1), F.lit(2)), F.lit("*"))).alias("by"))
+        return F.struct(x["s"].alias("s"), F.lit(1).alias("order"), x["e"].alias("e"), F.when(gone, F.lit("[TERM]")).otherwise(F.concat(F.substr(word, F.lit(1), F.lit(2)), F.lit("*"))).alias("by"))
 
     work = work.withColumn("all_", F.array_sort(F.concat(*[tagged(k) for k in KINDS], F.transform("term", hidden))))
     zero = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
