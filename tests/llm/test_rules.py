@@ -48,20 +48,50 @@ def test_ratios_against_a_plain_count(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, good int")
     trusted = spark.createDataFrame([(1,)], "doc_id bigint")
     n = 1 << 14
-    tails = {w: spark.range(1).select(F.pmod(F.xxhash64(F.lit(w[-4:])), F.lit(n))).first()[0] for w in ("one", "two", "three")}
+    at = {w: spark.range(1).select(F.pmod(F.xxhash64(F.lit(w)), F.lit(n))).first()[0] for w in ("one", "two", "three")}
     got = rules.ratios(docs, trusted, n)
     raw, good = 4 + 1 + 2, 4 + 2
     for w, r, g in (("one", 2, 2), ("two", 2, 2), ("three", 1, 0)):
         share = r / raw
-        assert math.isclose(got[tails[w]], math.log((g + rules.ALPHA * share) / (good + rules.ALPHA) / share))
+        assert math.isclose(got[at[w]], math.log((g + rules.ALPHA * share) / (good + rules.ALPHA) / share))
     assert set(rules.ratios(docs, trusted.limit(0), n)) == {0.0}
 
 
-def test_labels_are_separated(spark):
-    labels = spark.read.parquet(f"{SF}/labels.parquet")
-    rows = rules.op4_ngram_ratio(spark, SF).join(labels, "doc_id").where("not base_failed").collect()
-    assert all(r.kept for r in rows if r.quality == 1)
-    assert not any(r.kept for r in rows if r.quality == 0)
+def test_verdicts_against_plain_counts(spark):
+    """Scores and verdicts of all texts of a small corpus, by loops over whole words and pairs."""
+    rng = random.Random(9)
+    vocab = ["prefix%dtail" % k for k in range(60)]
+    texts = [" ".join(rng.choice(vocab[:40] if k % 3 else vocab[20:]) for _ in range(rng.randint(40, 90))) for k in range(60)] + [None, "", "one"]
+    good = {k for k in range(60) if k % 3 and k % 2}
+    grams = [(w := re.findall(WORD, t or "")) and [*((x,) for x in w), *zip(w, w[1:])] for t in texts]
+    n = 1 << 14
+    kinds = sorted({g for gs in grams for g in gs})
+    one = spark.createDataFrame([(x[0],) for x in kinds if len(x) == 1], "a string").select("a", F.xxhash64("a").alias("h"))
+    two = spark.createDataFrame([x for x in kinds if len(x) == 2], "a string, b string").select("a", "b", F.xxhash64(F.xxhash64("a"), F.xxhash64("b")).alias("h"))
+    bucket = {(r.a,): r.h % n for r in one.collect()} | {(r.a, r.b): r.h % n for r in two.collect()}
+    raw, own = collections.Counter(bucket[g] for gs in grams for g in gs), collections.Counter(bucket[g] for k in good for g in grams[k])
+    total, trusted = sum(raw.values()), sum(own.values())
+    ratio = {b: math.log((own[b] + rules.ALPHA * c / total) / (trusted + rules.ALPHA) / (c / total)) for b, c in raw.items()}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = rules.ratios(docs, spark.createDataFrame([(k,) for k in good], "doc_id bigint"), n)
+    rows = rules.verdicts(docs, got, 0.0).collect()
+    for r in rows:
+        gs = grams[r.doc_id]
+        score = sum(ratio[bucket[g]] for g in gs) / len(gs) if gs else 0.0
+        assert math.isclose(r.score, score, abs_tol=2e-4)
+        assert abs(score) < 2e-4 or r.kept == (len(re.findall(WORD, texts[r.doc_id] or "")) >= 50 and not r.base_failed and score >= 0)
+    assert len({r.kept for r in rows}) == 2
+
+
+def test_held_out_labels_are_separated(spark):
+    """Documents that were not trusted are kept if labelled as good, and not if labelled as poor."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{x}.parquet") for x in ("documents", "labels"))
+    apart = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    ratio = rules.ratios(docs, rules.trusted_ids(labels.where(~apart)))
+    rows = rules.verdicts(docs, ratio).join(labels.where(apart), "doc_id").where("not base_failed").collect()
+    kept = {q: [r.kept for r in rows if r.quality == q] for q in (0, 1)}
+    assert len(kept[0]) >= 4 and len(kept[1]) > 40
+    assert sum(kept[1]) >= 0.95 * len(kept[1]) and sum(kept[0]) <= 0.05 * len(kept[0])
 
 
 def test_all_good_documents_are_counted(spark, monkeypatch):
