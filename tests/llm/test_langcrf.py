@@ -35,6 +35,33 @@ def test_marginals_against_enumeration():
     assert np.allclose(expected, want_expected)
 
 
+def test_whole_chains_against_one_loop():
+    """Chains of 1 to 12,000 words side by side, each against a plain forward-backward in double precision."""
+    rng = np.random.default_rng(4)
+    size = np.array([1, 12_000, 0, 7, 300, 300, 2, 0])
+    weight, codes, trans = np.exp(rng.normal(size=(50, 3)) * 2), rng.integers(0, 50, size.sum()), rng.normal(size=(3, 3)) + 3 * np.eye(3)
+    ptr = np.concatenate([[0], np.cumsum(size)])
+    got = langcrf.chain_marginals(weight.astype(np.float32), codes, ptr, trans.astype(np.float32))
+    for a, z in zip(ptr, ptr[1:]):
+        w, fwd, back = weight[codes[a:z]], [], [np.ones(3)]
+        for k in range(z - a):
+            x = w[k] if k == 0 else (fwd[-1] @ np.exp(trans)) * w[k]
+            fwd.append(x / x.sum())
+        for k in range(z - a - 1, 0, -1):
+            y = np.exp(trans) @ (back[-1] * w[k])
+            back.append(y / y.sum())
+        if z > a:
+            want = np.array(fwd) * np.array(back[::-1])
+            assert np.abs(got[a:z] - want / want.sum(1, keepdims=True)).max() < 1e-4
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(langcrf, "TRAIN_DOCS", 60)
+    rows = [(i, f"word{chr(97 + i % 26)}{chr(97 + i % 20)} and more", "lang%02d" % (i % 40)) for i in range(800)] + [(801, "x" * 200_000, "toolong")]
+    model = langcrf.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert model.langs == ["lang%02d" % k for k in range(40)]
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")

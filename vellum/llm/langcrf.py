@@ -6,13 +6,13 @@ chains.  A word's emission is the sum of learned weights of its features: hashed
 each language whether the word is in that language's lexicon.  Transitions between languages are
 learned with the weights, by full-batch AdaGrad on the chains' likelihood.  Training chains are made
 of fragments of differently labelled documents, so that transitions describe code-switched text.
-At prediction, forward-backward gives each word's marginals; a document's language is that of the
-largest mean marginal, which is its score.
+At prediction, forward-backward gives each word's marginals in the document's one chain, however long it is; a
+document's language is that of the largest mean marginal, which is its score.
 
 The model is fitted on at most ``DOCS_PER_LANG`` documents of each language (those of the least hash
-of doc_id among documents that are not held out), whole texts, however many languages there are; every
-document is predicted.  Chains of
-a long text are cut every ``CHAIN`` words, so memory doesn't grow with a text's length.
+of doc_id among documents that are not held out and have at most ``LONGEST`` characters), whole texts, and on fewer of
+each, one at least, if all languages together have more than ``TRAIN_DOCS``; every
+document is predicted, whole.  Memory grows with the longest text, by a number for each of its words and language.
 
 Null texts, and texts without a letter, get ``und`` with score 0, as do all texts if there is nothing
 to learn from.  Rows with null lang, or with null doc_id, are never learned from but are
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm import job, text
 
-DOCS_PER_LANG, BUCKETS, CHAIN, ROUNDS = 150, 1 << 15, 96, 40
+DOCS_PER_LANG, TRAIN_DOCS, LONGEST, BUCKETS, ROUNDS = 150, 20_000, 100_000, 1 << 15, 40
 #: Occurrences in the sample, and share of them in one language, that put a word into a lexicon.
 LEX_COUNT, LEX_SHARE = 3, 0.9
 UNKNOWN = "und"
@@ -115,14 +115,35 @@ def marginals(e: np.ndarray, trans: np.ndarray, mask: np.ndarray) -> tuple[np.nd
     return out, expected
 
 
-def _chains(counts: np.ndarray, chain: int) -> tuple[np.ndarray, np.ndarray]:
-    """First word and length of each chain, for documents of so many words."""
-    per = -(-counts // chain)
-    doc = np.repeat(np.arange(len(counts)), per)
-    within = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-    first = (np.cumsum(counts) - counts)[doc] + within * chain
-    size = np.minimum(chain, counts[doc] - within * chain)
-    return first, size
+def chain_marginals(weight: np.ndarray, codes: np.ndarray, ptr: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Marginals [words, L] of whole chains, all of them side by side, word by word.  weight: exp(emission) of
+    each distinct word; codes: the words; ptr: the chains' places in them."""
+    a = np.exp(trans - trans.max())
+    size = np.diff(ptr)
+    first = ptr[:-1][order := np.argsort(-size, kind="stable")]
+    longest = int(size.max(initial=0))
+    # Chains by falling length: those with a word number t come first.
+    alive = np.searchsorted(-size[order], -np.arange(longest + 1), "left").tolist()
+    out = np.empty((len(codes), weight.shape[1]), weight.dtype)
+    x = None
+    for t in range(longest):
+        at = first[:alive[t]] + t
+        x = weight[codes[at]] if x is None else (x[:alive[t]] @ a) * weight[codes[at]]
+        x /= x.sum(1, keepdims=True)
+        out[at] = x
+    back = np.ones((0, weight.shape[1]), weight.dtype)
+    a_t = np.ascontiguousarray(a.T)
+    for t in range(longest - 2, -1, -1):
+        ended = alive[t + 1]  # chains with a next word
+        at = first[:ended] + t
+        if len(back) < ended:  # those whose last word is the next one
+            back = np.concatenate([back, np.ones((ended - len(back), back.shape[1]), back.dtype)])
+        back = (back * weight[codes[at + 1]]) @ a_t
+        back /= back.sum(1, keepdims=True)
+        y = out[at] * back
+        y /= y.sum(1, keepdims=True)
+        out[at] = y
+    return out
 
 
 def train(texts: list[str], labels: list[str], seed: int = 3) -> Model | None:
@@ -208,23 +229,15 @@ def word_marginals(model: Model, col: pa.Array) -> tuple[np.ndarray, np.ndarray,
     if not len(codes):
         return np.zeros((0, n_lang), np.float32), ptr, c, keep
     e = model.emissions(c.pieces)
-    first, size = _chains(np.diff(ptr), CHAIN)
-    out = np.empty((len(codes), n_lang), np.float32)
-    order = np.argsort(-size, kind="stable")
-    for at in range(0, len(order), 4000):
-        k = order[at:at + 4000]
-        t_max = int(size[k[0]])
-        grid = first[k][None] + np.arange(t_max)[:, None]
-        mask = np.arange(t_max)[:, None] < size[k][None]
-        grid_e = e[codes[np.where(mask, grid, 0)]]
-        m, _ = marginals(grid_e, model.trans, mask)
-        out[grid[mask]] = m[mask]
-    return out, ptr, c, keep
+    weight = np.exp(e - e.max(axis=1, keepdims=True))
+    return chain_marginals(weight, codes, ptr, model.trans), ptr, c, keep
 
 
 def fit(docs: DataFrame, per_lang: int = DOCS_PER_LANG) -> Model | None:
-    """Needs doc_id, text and lang.  Two scans: ids and languages, then the chosen texts."""
-    usable = docs.where("doc_id is not null and lang is not null and text is not null").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    """Needs doc_id, text and lang.  Scans: languages, ids with them, then the chosen texts."""
+    usable = docs.where("doc_id is not null and lang is not null").where(F.length("text") <= LONGEST).where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    n_langs = usable.select("lang").distinct().count()
+    per_lang = max(1, min(per_lang, TRAIN_DOCS // max(n_langs, 1)))
     rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = usable.select("doc_id", "lang").withColumn("k", F.row_number().over(rank)).where(F.col("k") <= per_lang).select("doc_id")
     chosen = job.written(chosen.distinct(), "langcrf-chosen")
