@@ -46,6 +46,14 @@ def test_against_a_loop(spark, monkeypatch, limit):
     assert not any(r.blocked for r in urls.decide(df, lists.limit(0)).collect())
 
 
+def test_forms_of_urls(spark):
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(["http://a.com./x", "//a.com/x", "HTTPS://u@B.A.com.:80/", "a.com/x", "///x", "http://."])], "page_id bigint, url string")
+    df = df.selectExpr("*", "timestamp'2024-01-02' as fetched_at")
+    entries = spark.createDataFrame([("A.com.", DAY, "block")], "domain string, at timestamp, action string")
+    got = {r.page_id: (r.host, r.blocked) for r in urls.decide(df, entries).collect()}
+    assert got == {0: ("a.com", True), 1: ("a.com", True), 2: ("b.a.com", True), 3: (None, False), 4: (None, False), 5: (None, False)}
+
+
 @pytest.mark.parametrize("limit", [job.BROADCAST_BYTES, -1])
 def test_deep_hosts(spark, monkeypatch, limit):
     monkeypatch.setattr(job, "BROADCAST_BYTES", limit)

@@ -7,11 +7,12 @@ time) is evaluated against the entries of its host and of the host's parent doma
 active when it was fetched, by an as-of join; the entry of the longest domain decides, of equal
 domains and times ``block`` before ``allow``, and a host without an active entry is allowed.
 
-A capture's key is one of its host's domains of at most as many labels as the longest listed one has, which loses
-no match; captures
-are first reduced to distinct (host, time) pairs and a hot domain's pairs are salted, the list being
-repeated for each salt only where a domain is hot.  The list is broadcast if its files are small.
+Captures are first reduced to distinct (host, time) pairs, and these to (domain, host, time) for those of the host's
+domains that the list holds, whatever the number of labels.  Pairs and entries then stand in one order of time for each domain,
+and the last entry at or before a pair is the active one: no pair meets more than one entry of a domain.  A domain of over
+``HOT`` pairs is cut into as many salted parts as keep each below that, the domain's entries being repeated for each part only.
 
+A host has no final dot; a url may lack the scheme (//host/path).
 Null urls and urls without a host are allowed with a null host; null times match no entry.  List rows with
 null domain or time are ignored; repeated rows count once.  Repeated captures are kept.  Extra columns
 are ignored.
@@ -24,50 +25,59 @@ from pyspark.sql import functions as F
 
 from vellum.llm import job
 
-SALTS, HOT = 16, 100_000
-HOST = "^(?i:[a-z][a-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:@]+)"
+HOT = 100_000
+HOST = "^(?i:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:@]+)"
 
 
 def host_of(url: Column) -> Column:
-    return F.nullif(F.lower(F.regexp_extract(url, HOST, 1)), F.lit(""))
+    return F.nullif(F.rtrim(F.lower(F.regexp_extract(url, HOST, 1)), F.lit(".")), F.lit(""))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
     """(domain, from_ts, to_ts, action) from dated entries; to_ts is null for the last one."""
     at = entries.where("domain is not null and at is not null and action in ('allow', 'block')")
-    one = at.select(F.lower("domain").alias("domain"), F.col("at").alias("from_ts"), "action").groupBy("domain", "from_ts").agg(F.max("action").alias("action"))
+    one = at.select(F.rtrim(F.lower("domain"), F.lit(".")).alias("domain"), F.col("at").alias("from_ts"), "action").groupBy("domain", "from_ts").agg(F.max("action").alias("action"))
     order = Window.partitionBy("domain").orderBy("from_ts")
     return one.withColumn("to_ts", F.lead("from_ts").over(order)).select("domain", "from_ts", "to_ts", "action")
 
 
-def _domains(host: Column, most: int) -> Column:
+def _domains(host: Column) -> Column:
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    return F.transform(F.sequence(F.lit(1), F.least(n, F.lit(most))), lambda k: F.array_join(F.slice(labels, n - k + 1, k), "."))
+    return F.transform(F.sequence(F.lit(1), n), lambda k: F.array_join(F.slice(labels, n - k + 1, k), "."))
 
 
 def decide(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """captures: page_id, url, fetched_at; entries: domain, at, action.  Returns page_id, url, host,
     fetched_at, the deciding domain and since when it holds (null if none), and blocked."""
-    spark = captures.sparkSession
     captures = captures.select("page_id", "url", "fetched_at", host_of(F.col("url")).alias("host"))
-    asked = captures.where("host is not null and fetched_at is not null").select("host", "fetched_at").distinct()
+    may = F.col("host").isNotNull() & F.col("fetched_at").isNotNull()
+    asked = captures.where(may).select("host", "fetched_at").distinct()
     listed = job.written(intervals(entries), "url-intervals")
-    most = listed.agg(F.max(F.size(F.split("domain", r"\.")))).first()[0] or 1
-    asked = asked.select("host", "fetched_at", F.explode(_domains(F.col("host"), most)).alias("domain"))
-    small = job.size_of(listed) <= job.BROADCAST_BYTES
-    if small:
-        joined = asked.join(F.broadcast(listed), "domain")
-    else:
-        known = asked.join(listed.select("domain").distinct(), "domain", "left_semi")
-        hot = job.written(known.groupBy("domain").count().where(F.col("count") > HOT).select("domain", F.lit(SALTS).alias("salts")), "url-hot")
-        left = known.join(job.maybe_broadcast(hot), "domain", "left").withColumn("salt", F.pmod(F.xxhash64("host", "fetched_at"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
-        right = listed.join(job.maybe_broadcast(hot), "domain", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
-        joined = left.join(right, ["domain", "salt"])
-    active = joined.where((F.col("fetched_at") >= F.col("from_ts")) & (F.col("to_ts").isNull() | (F.col("fetched_at") < F.col("to_ts"))))
+    domains = job.written(listed.select("domain").distinct(), "url-domains")
+    known = asked.select("host", "fetched_at", F.explode(_domains(F.col("host"))).alias("domain"))
+    known = job.written(known.join(job.maybe_broadcast(domains), "domain", "left_semi"), "url-known")
+    parts = known.groupBy("domain").count().where(F.col("count") > HOT).select("domain", F.ceil(F.col("count") / HOT).cast("int").alias("parts"))
+    parts = job.maybe_broadcast(job.written(parts, "url-hot"))
+    n = F.coalesce("parts", F.lit(1))
+    pairs = known.join(parts, "domain", "left").select(
+        "domain", F.pmod(F.xxhash64("host", "fetched_at"), n).cast("int").alias("salt"), F.col("fetched_at").alias("at"), F.lit(1).alias("asks"), "host",
+        F.lit(None).cast("struct<from_ts:timestamp,to_ts:timestamp,action:string>").alias("entry"),
+    )
+    dated = listed.join(parts, "domain", "left").select(
+        "domain", F.explode(F.sequence(F.lit(0), n - 1)).alias("salt"), F.col("from_ts").alias("at"), F.lit(0).alias("asks"), F.lit(None).cast("string").alias("host"),
+        F.struct("from_ts", "to_ts", "action").alias("entry"),
+    )
+    order = Window.partitionBy("domain", "salt").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = pairs.unionByName(dated).withColumn("e", F.last("entry", ignorenulls=True).over(order)).where("asks = 1 and e is not null")
+    joined = joined.select("host", F.col("at").alias("fetched_at"), "domain", "e.from_ts", "e.to_ts", "e.action")
+    active = joined.where(F.col("to_ts").isNull() | (F.col("fetched_at") < F.col("to_ts")))
     best = active.groupBy("host", "fetched_at").agg(F.max(F.struct(F.length("domain").alias("n"), "domain", "from_ts", "action")).alias("b"))
     best = best.select("host", "fetched_at", F.col("b.domain").alias("domain"), F.col("b.from_ts").alias("since"), F.col("b.action").alias("action"))
-    out = captures.join(best, ["host", "fetched_at"], "left")
+    best = job.maybe_broadcast(job.written(best, "url-decided"))
+    # Captures without a host or time would meet in one task of the join.
+    nothing = [F.lit(None).cast("string").alias("domain"), F.lit(None).cast("timestamp").alias("since"), F.lit(None).cast("string").alias("action")]
+    out = captures.where(may).join(best, ["host", "fetched_at"], "left").unionByName(captures.where(~may).select("*", *nothing))
     return out.select("page_id", "url", "host", "fetched_at", "domain", "since", (F.coalesce("action", F.lit("allow")) == "block").alias("blocked"))
 
 
@@ -107,7 +117,7 @@ def _text(c: str) -> Column:
 
 
 ORACLE = r"""
-with cap as (select page_id, url, nullif(lower(regexp_extract(url, '^(?i:[a-z][a-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '') as host,
+with cap as (select page_id, url, nullif(rtrim(lower(regexp_extract(url, '^(?i:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '.'), '') as host,
         timestamp '2024-01-01 00:00:00' + to_hours((page_id % 720)::int) as fetched_at from pages),
 hosts as (select distinct host, ('0x' || substr(md5(host), 1, 2))::int as a, ('0x' || substr(md5(host), 3, 2))::int as b,
         ('0x' || substr(md5(host), 5, 2))::int as c from cap where host is not null),
