@@ -63,6 +63,8 @@ class Coder:
         self.cum = np.cumsum(freq) - freq if len(freq) else freq
         self.slot = np.repeat(np.arange(len(symbols), dtype=np.int32), freq.astype(np.int64))
         self.mask = np.uint64((1 << scale) - 1)
+        self.place = np.zeros(int(symbols[-1]) + 1 if len(symbols) else 0, np.int64)
+        self.place[symbols.astype(np.int64)] = np.arange(len(symbols))
         #: Pads the last block: the commonest symbol costs least.
         self.pad = int(np.argmax(freq)) if len(freq) else 0
 
@@ -77,7 +79,7 @@ class Coder:
         n = len(ids)
         blocks = -(-n // BLOCK)
         steps = BLOCK // LANES if blocks > 1 else -(-n // LANES)
-        sym = np.searchsorted(self.symbols, ids)
+        sym = self.place[ids]
         full = np.full(blocks * steps * LANES, self.pad, np.int64)
         full[:n] = sym
         sym = full.reshape(blocks, steps, LANES)
@@ -225,6 +227,10 @@ class LibraryIds:
         for p in pieces:
             if p in known:
                 continue
+            bare = p[1:] if p[0] == 32 else p
+            if bare.isalpha():  # ASCII
+                known[p] = [t.id for t in tokenize("Ġ" + bare.decode() if p[0] == 32 else bare.decode())]
+                continue
             s = p.decode("utf-8", "replace")
             if (s[1:] if s[:1] == " " else s).isalpha():  # one pre-token: straight to the library's model
                 line = "Ġ" + s[1:] if s[0] == " " and s.isascii() else s if s.isascii() else "".join([symbol[b] for b in p])
