@@ -66,7 +66,7 @@ def main(argv: list[str] | None = None) -> int:
     docs = store.written(docs, "docs")
     results = store.written(pipeline.compress(docs, options), "results")
     markdown.write_results(results, f"{a.out}/documents")
-    stats.manifest_of(docs, results).write.mode("overwrite").parquet(manifest)
+    stats.manifest_of(results).write.mode("overwrite").parquet(manifest)
     stats.totals(results).show(truncate=False)
     return 0
 

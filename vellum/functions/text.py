@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SPACE = "[\\t\\n\\f\\r ]"
-
 
 def token_estimate_of(n_bytes: Column) -> Column:
     """A quarter of the bytes, rounded up."""
@@ -18,7 +16,7 @@ def token_estimate(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, r"[^\p{L}\p{Nd}]+", -1), lambda x: x != "")).cast("bigint")
+    return F.regexp_count(text, F.lit(r"[\p{L}\p{Nd}]+")).cast("bigint")
 
 
 def lines(text: Column) -> Column:
@@ -32,16 +30,26 @@ def fence_mark(line: Column) -> Column:
     return F.substring(F.regexp_extract(line, r"^[ \t]*(`{3}|~{3})", 1), 1, 1)
 
 
+#: Lines that fenced() looks at in one run.
+RUN = 256
+
+
 def fenced(lines_: Column) -> Column:
-    """For each line, whether it is inside a fence: the state before the line, so an opening fence is outside."""
-    zero = F.struct(F.lit("").alias("open"), F.array().cast("array<boolean>").alias("out"))
+    """For each line, whether it is inside a fence: the state before the line, so an opening fence is outside.  Lines are
+    taken in runs, as appending to one long array would take the square of its length."""
+    none = F.array().cast("array<boolean>")
 
     def step(acc: Column, x: Column) -> Column:
         mark = fence_mark(x)
         now = F.when(mark == "", acc["open"]).when(acc["open"] == "", mark).when(acc["open"] == mark, F.lit("")).otherwise(acc["open"])
         return F.struct(now.alias("open"), F.concat(acc["out"], F.array(acc["open"] != "")).alias("out"))
 
-    return F.aggregate(lines_, zero, step, lambda acc: acc["out"])
+    def run(acc: Column, part: Column) -> Column:
+        start = F.struct(acc["open"].alias("open"), none.alias("out"))
+        return F.aggregate(part, start, step, lambda own: F.struct(own["open"].alias("open"), F.concat(acc["out"], own["out"]).alias("out")))
+
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(lines_), F.lit(1)), F.lit(RUN)), lambda k: F.slice(lines_, k, RUN))
+    return F.aggregate(runs, F.struct(F.lit("").alias("open"), none.alias("out")), run, lambda acc: acc["out"])
 
 
 def sentence_count(text: Column) -> Column:
@@ -53,14 +61,6 @@ def short_hash(text: Column, digits: int = 32) -> Column:
     return F.substring(F.sha2(text.cast("binary"), 256), 1, digits)
 
 
-def basename(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -1)
-
-
-def squeeze(text: Column) -> Column:
-    return F.lower(F.regexp_replace(F.regexp_replace(text, f"{_SPACE}+", " "), "^ | $", ""))
-
-
 def clean_url(url: Column) -> Column:
     """Without tracking parameters."""
     gone = F.regexp_replace(url, r"[?&](?:utm_[a-z_]+|(?:fb|g)clid|[gw]braid|yclid|msclkid|mc_[ce]id|igshid|_g[al]|ref(?:_src)?|si)=[^&#\t\n\f\r )>\]]*", "")
@@ -70,27 +70,9 @@ def clean_url(url: Column) -> Column:
     return F.when(gone == url, url).otherwise(F.regexp_replace(F.concat(head, tail), r"[?&]+$", ""))
 
 
-def frontmatter_removed(text: Column) -> Column:
-    one = F.regexp_replace(text, r"(?s)\A---(?=\r?\n).*?---\r?\n?", "")
-    return F.when(F.startswith(text, F.lit("---")), one).otherwise(F.regexp_replace(text, r"(?s)\A\+\+\+(?=\r?\n).*?\+\+\+\r?\n?", ""))
-
-
 def comments_removed(text: Column) -> Column:
     return F.regexp_replace(text, "(?s)<!--.*?-->", "")
 
 
-def plain_signs(text: Column) -> Column:
-    """Typographic signs to ASCII, without regard to code."""
-    from vellum.operators.prose import UNICODE
-
-    one = {k: v for k, v in UNICODE.items() if len(v) == 1}
-    none = [k for k, v in UNICODE.items() if not v]
-    out = F.translate(text, "".join(one) + "".join(none), "".join(one.values()))
-    for k, v in UNICODE.items():
-        if len(v) > 1:
-            out = F.replace(out, F.lit(k), F.lit(v))
-    return out
-
-
 def percent_saved(before: Column, after: Column) -> Column:
     return F.when(before > 0, (before - after) * 100.0 / before).otherwise(0.0)

@@ -45,11 +45,22 @@ def _letter(ch: str) -> bool:
     return unicodedata.category(ch) in ("Lu", "Ll", "Lt", "Lm", "Lo", "Nd")
 
 
+class _OnlyLetters(dict):
+    """For str.translate: what isn't a letter or digit becomes a blank; characters are looked up once."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = out = chr(code) if _letter(chr(code)) else " "
+        return out
+
+
+_ONLY_LETTERS = _OnlyLetters()
+
+
 def words(s: str) -> list[str]:
     """Maximal runs of letters and decimal digits."""
     if s.isascii():
         return re.findall("[A-Za-z0-9]+", s)
-    return [w for w in "".join(c if _letter(c) else " " for c in s).split(" ") if w]
+    return s.translate(_ONLY_LETTERS).split()
 
 
 def count_words(s: str) -> int:
@@ -83,6 +94,7 @@ def fence_of(text: str) -> str:
     return s[0] if s[:3] in ("```", "~~~") else ""
 
 
+@lru_cache(maxsize=4)  # rules that leave a text as it is follow one another
 def split_lines(src: str) -> list[Line]:
     out, at, open_ = [], 0, ""
     n = len(src)

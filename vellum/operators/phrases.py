@@ -71,6 +71,40 @@ def phrases(run: list[Word]):
         i = k + 1
 
 
+_GOOD: dict[str, bool] = {}
+
+
+def _good(word: str) -> bool:
+    """Whether a word may be in a phrase; words are looked at once."""
+    known = _GOOD.get(word)
+    if known is None:
+        if len(_GOOD) > 300_000:
+            _GOOD.clear()
+        known = _GOOD[word] = bool(_THREE.match(word)) and not _SIGNS.search(word)
+    return known
+
+
+def segments(lines: list[Line], compat: bool = False):
+    """Runs of neighbouring words that may all be in a phrase, without their places."""
+    for line in lines:
+        if line.fenced or not prose_line(line.text):
+            continue
+        parts = line.text.replace("\t", " ").split("`")[::2]
+        for part in [" ".join(parts)] if compat else parts:
+            run: list[str] = []
+            for w in part.split(" "):
+                if not w:
+                    continue
+                if _good(w):
+                    run.append(w)
+                else:
+                    if len(run) >= SHORTEST:
+                        yield run
+                    run = []
+            if len(run) >= SHORTEST:
+                yield run
+
+
 class _Claims:
     """Ranges already taken, kept sorted and apart."""
 
@@ -90,9 +124,12 @@ class _Claims:
 
 def factor(src: str, ctx: Context) -> list[Edit]:
     """With a corpus glossary its phrases are named, longest first; else the document's own."""
-    found = runs(split_lines(src), ctx.compat)
+    lines = split_lines(src)
     if ctx.glossary or ctx.glossary_line:
-        return _apply(found, ctx)
+        return _apply(runs(lines, ctx.compat), ctx)
+    if not _may_recur(lines, ctx.compat):
+        return []
+    found = runs(lines, ctx.compat)
     places = _frequent(found)
     ranked = sorted((-len(at) * (size(t) - 2), t.encode(), t) for t, at in places.items() if len(at) >= LEAST)
     claims, out, names = _Claims(), [], []
@@ -112,6 +149,18 @@ def factor(src: str, ctx: Context) -> list[Edit]:
     return [Edit(0, 0, "[gloss] " + "; ".join(names) + "\n"), *out] if names else []
 
 
+def _may_recur(lines: list[Line], compat: bool) -> bool:
+    """Whether any three neighbouring words occur often enough, eligible or not; cheap, and true of few texts."""
+    threes: Counter = Counter()
+    for line in lines:
+        if not line.fenced and prose_line(line.text):
+            parts = line.text.replace("\t", " ").replace("\n", " ").split("`")[::2]
+            for part in [" ".join(parts)] if compat else parts:
+                w = [x for x in part.split(" ") if x]
+                threes.update(zip(w, w[1:], w[2:]))
+    return any(n >= LEAST for n in threes.values())
+
+
 def _frequent(found: list[list[Word]]) -> dict[str, list[tuple[int, int]]]:
     """Places of the phrases that may recur often enough: every three neighbours in one must."""
     segments = []

@@ -27,14 +27,14 @@ def phrase_counts(docs: DataFrame, least: int = 1, compat: bool = False) -> Data
 
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                if t:
-                    for run in phrases.runs(split_lines(t), compat):
-                        total.update(p for p, _, _ in phrases.phrases(run))
-                if len(total) > 200_000:
+                for w in phrases.segments(split_lines(t or ""), compat):
+                    for n in range(phrases.SHORTEST, min(phrases.LONGEST, len(w)) + 1):
+                        total.update(map(" ".join, zip(*(w[k:] for k in range(n)))))
+                if len(total) > 500_000:
                     yield out()
         yield out()
 
-    df = docs.select("text").mapInArrow(count, "phrase string, n bigint")
+    df = docs.select("text").mapInArrow(count, "phrase string, n bigint").where(F.octet_length("phrase") >= phrases.LEAST_BYTES)
     return df.groupBy("phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 

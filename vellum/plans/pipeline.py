@@ -22,10 +22,10 @@ from vellum.operators.lines import Context, Edit
 from vellum.operators.registry import Options, Outcome, Rule, run, run_plugins
 from vellum.plans import phrasebook, store
 
-STATE = "id bigint, path string, text string, bytes_before bigint, fires map<string,int>, saved map<string,bigint>, errors map<string,string>"
+STATE = "id bigint, path string, text string, sha256 string, bytes_before bigint, fires map<string,int>, saved map<string,bigint>, errors map<string,string>"
 UNITS = "id bigint, path string, start int, end int, bytes int, key string, shape string, line int"
 _STATE_ARROW = pa.schema([
-    ("id", pa.int64()), ("path", pa.string()), ("text", pa.string()), ("bytes_before", pa.int64()),
+    ("id", pa.int64()), ("path", pa.string()), ("text", pa.string()), ("sha256", pa.string()), ("bytes_before", pa.int64()),
     ("fires", pa.map_(pa.string(), pa.int32())), ("saved", pa.map_(pa.string(), pa.int64())), ("errors", pa.map_(pa.string(), pa.string())),
 ])
 _UNITS_ARROW = pa.schema([
@@ -145,6 +145,7 @@ def start(docs: DataFrame) -> DataFrame:
     empty = "cast(map() as map<string,{}>)"
     df = docs.select(
         F.monotonically_increasing_id().alias("id"), F.coalesce("path", F.lit("")).alias("path"), F.col("text"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("sha256"),
         F.octet_length("text").cast("bigint").alias("bytes_before"), F.expr(empty.format("int")).alias("fires"),
         F.expr(empty.format("bigint")).alias("saved"), F.expr(empty.format("string")).alias("errors"),
     )
@@ -152,7 +153,8 @@ def start(docs: DataFrame) -> DataFrame:
 
 
 def compress(docs: DataFrame, options: Options = Options()) -> DataFrame:
-    """path, output, sizes and estimated tokens before and after, and fires, bytes saved and errors by rule."""
+    """path, output, sizes and estimated tokens before and after, fires, bytes saved and errors by rule, and the hash of the
+    text before."""
     rules = options.rules()
     state = start(docs)
     crossing = [r for r in rules if r.apply is None]
@@ -199,5 +201,5 @@ def compress(docs: DataFrame, options: Options = Options()) -> DataFrame:
     after = F.octet_length("text").cast("bigint")
     return state.select(
         "path", F.col("text").alias("output"), "bytes_before", after.alias("bytes_after"),
-        token_estimate_of(F.col("bytes_before")).alias("tokens_before"), token_estimate_of(after).alias("tokens_after"), "fires", "saved", "errors",
+        token_estimate_of(F.col("bytes_before")).alias("tokens_before"), token_estimate_of(after).alias("tokens_after"), "fires", "saved", "errors", "sha256",
     )

@@ -52,10 +52,10 @@ def pending(docs: DataFrame, manifest: DataFrame) -> DataFrame:
     return keyed.join(manifest.select(F.col("source").alias("path"), "sha256"), ["path", "sha256"], "left_anti").select(*docs.columns)
 
 
-def manifest_of(docs: DataFrame, results: DataFrame) -> DataFrame:
-    sha = docs.select("path", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
-    kept = results.select("path", "tokens_before", "tokens_after", "fires", "saved", "errors")
-    return sha.join(kept, "path").withColumnRenamed("path", "source").withColumn("compressed_at", F.current_timestamp())
+def manifest_of(results: DataFrame) -> DataFrame:
+    """One row per result of ``compress``: source, hash of its text, tokens, fires, bytes saved and errors."""
+    kept = results.select(F.col("path").alias("source"), "sha256", "tokens_before", "tokens_after", "fires", "saved", "errors")
+    return kept.withColumn("compressed_at", F.current_timestamp())
 
 
 def verdict_tallies(verdicts: DataFrame) -> DataFrame:

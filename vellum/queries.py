@@ -103,7 +103,7 @@ _LINES = "case when ends_with(text, chr(10)) or text = '' then string_split(text
     substr(sha256(text), 1, 32) as hash from documents""")
 def text_stats(spark, sf):
     t = F.col("text")
-    return _table(spark, sf, "documents").select(
+    return store.spread(_table(spark, sf, "documents")).select(
         "doc_id", T.token_estimate(t).alias("tokens"), T.word_count(t).alias("n_words"), F.size(T.lines(t)).cast("bigint").alias("n_lines"),
         T.sentence_count(t).alias("n_sentences"), T.short_hash(t).alias("hash"),
     )
