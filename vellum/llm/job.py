@@ -16,10 +16,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir.  Where that is unset, which is so in
-    tests on one machine only, a temporary folder."""
+    """The folder the cluster names in spark.checkpoint.dir.  Where that is unset, a temporary folder, but on
+    one machine only: executors elsewhere couldn't read it."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = _OWN.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="vellum-"))
     return at.rstrip("/")
 
