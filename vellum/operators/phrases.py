@@ -53,24 +53,6 @@ def runs(lines: list[Line], compat: bool = False) -> list[list[Word]]:
     return [r for r in out if len(r) >= SHORTEST]
 
 
-def phrases(run: list[Word]):
-    """(phrase, start, end) of each eligible phrase of a run."""
-    i = 0
-    while i < len(run):
-        k = i
-        while k < len(run) and run[k].good:
-            k += 1
-        texts = [w.text for w in run[i:k]]
-        for a in range(len(texts) - SHORTEST + 1):
-            text = " ".join(texts[a:a + SHORTEST])
-            for b in range(a + SHORTEST, min(a + LONGEST, len(texts)) + 1):
-                if len(text) >= LEAST_BYTES or size(text) >= LEAST_BYTES:
-                    yield text, run[i + a].start, run[i + b - 1].end
-                if b < len(texts):
-                    text += " " + texts[b]
-        i = k + 1
-
-
 _GOOD: dict[str, bool] = {}
 
 

@@ -14,6 +14,8 @@ _OWN: dict[str, str] = {}
 
 def folder(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return (at or _OWN.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="vellum-"))).rstrip("/")
 
 
