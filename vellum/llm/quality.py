@@ -3,8 +3,8 @@
 Words are the pieces of :func:`vellum.llm.text.units`, reduced to a class if they are upper case,
 numbers or repetitions of the word before, and hashed to ``WORDS`` rows.  Each word has a sparse ternary index vector; a word's
 context vector is the sum of the index vectors of its neighbours (up to ``WINDOW`` away) over all
-documents.  Partial sums of fixed size are made by a bounded number of tasks and added up in
-slices.  Centred, unit-length context vectors are pooled per document (mean, and mean of squares),
+documents.  Partial sums of fixed size are made by tasks of a few scan partitions each and added up in
+slices, as a tree.  Centred, unit-length context vectors are pooled per document (mean, and mean of squares),
 and a two-layer network gives a logit, divided by a temperature that is fitted on documents
 withheld from the weights.
 
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,7 @@ def word_ids(c: text.Coded) -> np.ndarray:
     return out
 
 
+@cache
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     """Places and signs of the nonzero entries, [WORDS, NONZERO] each."""
     rng = np.random.default_rng(11)
@@ -78,41 +80,17 @@ def add_contexts(total: np.ndarray, ids: np.ndarray, doc: np.ndarray, place: np.
 
 
 def context_vectors(docs: DataFrame) -> np.ndarray:
-    """[WORDS, DIM] sums over all texts.  Tasks are as many as the cluster's cores, at most; each emits
-    one table of fixed size in slices, which are added up by slice."""
-    spark = docs.sparkSession
-    n_slices = WORDS // SLICE_ROWS
+    """[WORDS, DIM] sums over all texts; see job.summed()."""
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(WORDS * DIM)
+    def fill(total: np.ndarray, batch: pa.RecordBatch) -> None:
         place, sign = index_vectors()
-        any_ = False
-        for batch in batches:
-            for part in text.slices(batch):
-                c = text.units(part.column("text"))
-                ids = word_ids(c)
-                if len(ids):
-                    any_ = True
-                    add_contexts(total, ids, c.docs, place, sign)
-        if any_:
-            rows = total.reshape(n_slices, -1)
-            yield pa.record_batch([pa.array(np.arange(n_slices)), pa.array([r.tobytes() for r in rows], pa.binary())], names=["slice", "sums"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, raw in zip(batch.column("slice").to_pylist(), batch.column("sums").to_pylist()):
-                v = np.frombuffer(raw)
-                sums[k] = sums[k] + v if k in sums else v
-        yield pa.record_batch([pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["slice", "sums"])
-
-    kind = "slice bigint, sums binary"
-    cores = max(2, spark.sparkContext.defaultParallelism)
-    parts = docs.select("text").coalesce(cores * 2).mapInArrow(partial, kind).repartition(min(n_slices, cores), "slice").mapInArrow(add, kind)
-    out = np.zeros((n_slices, SLICE_ROWS * DIM))
-    for r in parts.collect():  # WORDS * DIM numbers, whatever the input
-        out[r["slice"]] += np.frombuffer(r["sums"])
-    return out.reshape(WORDS, DIM)
+        for part in text.slices(batch):
+            c = text.units(part.column("text"))
+            ids = word_ids(c)
+            if len(ids):
+                add_contexts(total.reshape(-1), ids, c.docs, place, sign)
+
+    return job.summed(docs, ["text"], fill, (WORDS, DIM), SLICE_ROWS)
 
 
 def unit_vectors(sums: np.ndarray) -> np.ndarray:
