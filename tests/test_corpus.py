@@ -150,6 +150,40 @@ def test_evaluation(spark):
     assert tally == {"r": (2, 2), "q": (0, 2), None: (2, 4)}
 
 
+def test_evaluation_by_repo_and_choice(spark):
+    docs = spark.createDataFrame([("r", "f", "The port is 80.\nAuthor: x\n"), ("q", "f", "The port is 81.\n")], "repo string, path string, text string")
+    rows = [("1", "r", "f", "Port?", "80"), ("2", "q", "f", "Port?", "81"), ("3", "s", "f", "Port?", "82")]
+    tuples = spark.createDataFrame(rows, markdown.TUPLES)
+
+    def backend(prompt):
+        return '{"verdict": "pass"}' if "Do both answers" in prompt else prompt.split("port is ")[1][:2]
+
+    got = {r.id: (r.original, r.verdict) for r in evaluate.curated(tuples, docs, Options(AGGRESSIVE), backend).collect()}
+    assert got == {"1": ("80", "pass"), "2": ("81", "pass"), "3": (None, "error")}
+    for names, ids in (("q, 1", ["1", "2"]), (" , ", ["1", "2", "3"]), ("none", [])):
+        assert sorted(r.id for r in evaluate.chosen(tuples, names).collect()) == ids
+
+
+def test_faithfulness(spark):
+    docs = frame(spark, [("a", "The port is 80.\nAuthor: x\n"), ("b", "same\n"), ("c", "Author: y\n"), ("n", None)])
+
+    def backend(prompt):
+        if prompt.startswith("Write 2"):
+            return "nothing" if "Author: y" in prompt else '["Port?", "Author of %s?", "Third?"]' % prompt.split("number ")[1][0]
+        if prompt.startswith("How much"):
+            return "no number" if "Second answer: NOT FOUND" in prompt else 'Sure: {"score": 1.0}'
+        if "Question: Port?" in prompt:
+            return "80"
+        return "x" if "Author: x" in prompt else "NOT FOUND"
+
+    scores = evaluate.faithfulness(docs, Options(AGGRESSIVE), backend, seeds=2, per_doc=2)
+    rows = {(r.file, r.seed, r.question): r.score for r in scores.collect()}
+    assert rows == {("a", 1, "Port?"): 1, ("a", 2, "Port?"): 1, ("a", 1, "Author of 1?"): 0, ("a", 2, "Author of 2?"): 0, ("b", None, None): 1, ("c", None, None): 0}
+    report = {r.file: (r.score, r.n_questions, r.passed) for r in evaluate.file_report(scores).collect()}
+    assert report == {"a": (0.5, 4, False), "b": (1.0, 0, True), "c": (0.0, 0, False)}
+    assert stats.mean_of_means(scores).first().average == 0.5
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "node_modules").mkdir()
     (tmp_path / "sub").mkdir()

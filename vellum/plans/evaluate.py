@@ -24,6 +24,15 @@ JUDGE = (
     "Do both answers say the same? Reply with JSON {{\"verdict\": \"pass|degraded|fail\", \"reason\": \"...\"}}.\n"
     "Question: {question}\nExpected: {expected}\nFirst answer: {original}\nSecond answer: {compressed}\n"
 )
+QUESTIONS = (
+    "Write {n} questions that this document answers, as a JSON array of strings. Choose others than for variants before number {seed}.\n\n"
+    "Document:\n{text}\n"
+)
+SCORE = (
+    "How much of what the first answer says does the second one keep, from 0 to 1? Reply with JSON {{\"score\": 0.5, \"reason\": \"...\"}}.\n"
+    "Question: {question}\nFirst answer: {original}\nSecond answer: {compressed}\n"
+)
+QUESTIONS_PER_DOC, SEEDS, THRESHOLD = 10, 1, 0.95
 
 
 def not_found(answer: str) -> bool:
@@ -84,34 +93,81 @@ def _prompt(template: str, **columns: str) -> F.Column:
     parts, rest = [], template.replace("{{", "\0").replace("}}", "\1")
     for piece in re.split(r"(\{\w+\})", rest):
         name = piece[1:-1] if piece.startswith("{") else ""
-        parts.append(F.coalesce(F.col(columns[name]), F.lit("")) if name else F.lit(piece.replace("\0", "{").replace("\1", "}")))
+        parts.append(F.coalesce(F.col(columns[name]).cast("string"), F.lit("")) if name else F.lit(piece.replace("\0", "{").replace("\1", "}")))
     return F.concat(*parts)
 
 
-def curated(tuples: DataFrame, docs: DataFrame, options: Options, backend: Backend) -> DataFrame:
-    """Verdict of each tuple (id, repo, file, question, expected_answer).  Equal texts and equal answers pass without
-    being judged; a tuple whose document is missing gets verdict ``error``."""
-    done = pipeline.compress(docs, options).select(F.col("path").alias("file"), F.col("output").alias("after"))
-    texts = docs.select(F.col("path").alias("file"), F.col("text").alias("before")).join(done, "file")
-    rows = store.written(tuples.join(texts, "file", "left"), "tuples")
+def chosen(tuples: DataFrame, names: str) -> DataFrame:
+    """The tuples whose id or repo is among the names, which commas separate; all if there are none."""
+    wanted = [n for n in (x.strip() for x in names.split(",")) if n]
+    return tuples.where(F.col("id").isin(wanted) | F.col("repo").isin(wanted)) if wanted else tuples
+
+
+def _before_and_after(docs: DataFrame, options: Options) -> DataFrame:
+    """(path, before, after) of each distinct document, written.  Where docs has a repo, it leads the path."""
+    if "repo" in docs.columns:
+        docs = docs.withColumn("path", F.concat(F.coalesce("repo", F.lit("")), F.lit("/"), F.coalesce("path", F.lit(""))))
+    docs = docs.select(F.coalesce("path", F.lit("")).alias("path"), "text").where("text is not null").dropDuplicates(["path", "text"])
+    done = pipeline.compress(docs, options).select("path", "sha256", F.col("output").alias("after"))
+    texts = docs.select("path", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.col("text").alias("before"))
+    return store.written(texts.join(done, ["path", "sha256"]).drop("sha256"), "before-after")
+
+
+def _answered(rows: DataFrame, backend: Backend) -> DataFrame:
+    """Adds the answers ``original`` and ``compressed`` to the question, by before and after; equal (text, question) pairs are asked once."""
     asked = rows.where("before is not null").select("question", F.explode(F.array("before", "after")).alias("text")).distinct()
     asked = asked.withColumn("prompt", _prompt(ANSWER, text="text", question="question"))
     answers = store.written(ask(asked, "prompt", "answer", backend).select("question", "text", "answer"), "answers")
     for side, name in (("before", "original"), ("after", "compressed")):
         rows = rows.join(answers.select("question", F.col("text").alias(side), F.col("answer").alias(name)), ["question", side], "left")
+    return rows
+
+
+def curated(tuples: DataFrame, docs: DataFrame, options: Options, backend: Backend) -> DataFrame:
+    """Verdict of each tuple (id, repo, file, question, expected_answer), by file, or by repo and file if docs has a repo.
+    Equal texts and equal answers pass without being judged; a tuple whose document is missing gets verdict ``error``."""
+    own = F.concat(F.coalesce("repo", F.lit("")), F.lit("/"), F.col("file")) if "repo" in docs.columns else F.col("file")
+    rows = store.written(tuples.withColumn("path", own).join(_before_and_after(docs, options), "path", "left").drop("path"), "tuples")
+    rows = _answered(rows, backend)
     same = (F.col("before") == F.col("after")) | (F.col("original") == F.col("compressed"))
     rows = store.written(rows.withColumn("same", F.coalesce(same, F.lit(False))), "answered")
     judged = rows.where("not same and before is not null").withColumn("prompt", _prompt(JUDGE, question="question", expected="expected_answer", original="original", compressed="compressed"))
-    judged = ask(judged, "prompt", "reply", backend)
-    verdict = F.udf(verdict_of, "string")
+    judged = ask(ask(judged, "prompt", "reply", backend), "reply", "verdict", verdict_of)
     cols = ["id", "repo", "file", "question", "original", "compressed"]
     return (
-        judged.select(*cols, verdict("reply").alias("verdict"))
+        judged.select(*cols, "verdict")
         .unionByName(rows.where("same").select(*cols, F.lit("pass").alias("verdict")))
         .unionByName(rows.where("before is null").select(*cols, F.lit("error").alias("verdict")))
     )
 
 
+def faithfulness(docs: DataFrame, options: Options, backend: Backend, seeds: int = SEEDS, per_doc: int = QUESTIONS_PER_DOC) -> DataFrame:
+    """(file, seed, question, original, compressed, score): for each changed document and seed the backend's questions, its answers
+    from both texts, and its score of the second answer (0 if it gives none).  An unchanged document is one row with score 1."""
+    rows = _before_and_after(docs, options).withColumnRenamed("path", "file")
+    asked = rows.where("before <> after").withColumn("seed", F.explode(F.sequence(F.lit(1), F.lit(seeds)))).withColumn("n", F.lit(per_doc))
+    asked = asked.withColumn("prompt", _prompt(QUESTIONS, n="n", seed="seed", text="before"))
+    found = ask(ask(asked, "prompt", "reply", backend), "reply", "found", lambda r: json.dumps(questions_of(r)))
+    found = found.withColumn("question", F.explode(F.slice(F.from_json("found", "array<string>"), 1, per_doc)))
+    found = store.written(found.select("file", "seed", "question", "before", "after"), "questions")
+    answered = _answered(found, backend)
+    answered = answered.withColumn("prompt", _prompt(SCORE, question="question", original="original", compressed="compressed"))
+    scored = ask(ask(answered, "prompt", "reply", backend), "reply", "score", lambda r: str(score_of(r) or 0.0))
+    cols = ["file", "seed", "question", "original", "compressed"]
+    none = [F.lit(None).cast("int" if c == "seed" else "string").alias(c) for c in cols[1:]]
+    same = rows.where("before = after").select("file", *none, F.lit(1.0).alias("score"))
+    # A changed document without a question has score 0.
+    asked_of = found.select("file").distinct()
+    silent = rows.where("before <> after").join(asked_of, "file", "left_anti").select("file", *none, F.lit(0.0).alias("score"))
+    return scored.select(*cols, F.col("score").cast("double")).unionByName(same).unionByName(silent)
+
+
+def file_report(scores: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Per file its mean score, its questions, and whether it passes."""
+    out = scores.groupBy("file").agg(F.avg("score").alias("score"), F.count("question").alias("n_questions"))
+    return out.withColumn("passed", F.col("score") >= threshold)
+
+
 def sweep(tuples: DataFrame, docs: DataFrame, options: Options, backend: Backend, candidates: list[str] | None = None) -> DataFrame:
     """The curated run repeated without each candidate rule, against the run with all."""
     base = store.written(curated(tuples, docs, options, backend), "baseline")
