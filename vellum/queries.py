@@ -272,8 +272,7 @@ def dup_paragraphs(spark, sf):
 
 @query("dup_code", rf"""with {_L}, m as (select *, sum(case when regexp_matches(line, '^[ \t]*`{{3}}') then 1 else 0 end) over (partition by path order by no) as marks from l),
 f as (select path, (marks + 1) // 2 as blk, min(no) as open_line, max(case when not fenced then regexp_extract(t, '^`+(.*)$', 1) end) as lang,
-    string_agg(case when fenced and not regexp_matches(line, '^[ \t]*`{{3}}') and t <> '' then regexp_replace(t, '[\t\n\f\r ]+', ' ', 'g') end, chr(10) order by no)
-        filter (not (fenced and (starts_with(t, '//') and not exists (select 1 where false) and false))) as body
+    string_agg(case when fenced and not regexp_matches(line, '^[ \t]*`{{3}}') and t <> '' then regexp_replace(t, '[\t\n\f\r ]+', ' ', 'g') end, chr(10) order by no) as body
     from m where fenced or regexp_matches(line, '^[ \t]*`{{3}}') group by path, (marks + 1) // 2),
 c as (select path, open_line, lang, array_to_string(list_filter(string_split(body, chr(10)), lambda x: not starts_with(x, case lang when 'go' then '//' when 'python' then '#' else chr(0) end)), chr(10)) as body from f where body is not null)
 select path, open_line::bigint as line, substr(sha256(lang || chr(10) || body), 1, 32) as key, first_value(path) over (partition by sha256(lang || chr(10) || body) order by path, open_line) as first_path from c where strlen(body) >= 20""")
