@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm import job
 
-BUCKETS, ALPHA, THRESHOLD = 1 << 16, 2000.0, -0.12
+BUCKETS, ALPHA, THRESHOLD = 1 << 16, 300_000.0, -0.12
 SPACE = "[\\x20\\x09-\\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 
