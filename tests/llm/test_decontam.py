@@ -133,3 +133,32 @@ def test_blocks_of_items_and_clashing_columns(spark, tables, monkeypatch):
     whole = sorted((r.doc_id, r.item_id, r.lcs) for r in decontam.matches(docs, bench).collect())
     monkeypatch.setattr(decontam, "BLOCK_ITEMS", 25)
     assert whole and sorted((r.doc_id, r.item_id, r.lcs) for r in decontam.matches(docs, bench).collect()) == whole
+
+
+def test_basis_is_of_all_documents(spark, tables):
+    """The basis against the sketch of every passage by plain loops, also of documents that share or lack a doc_id."""
+    rng = random.Random(12)
+    vocab = ["basis%dword" % k for k in range(400)]
+    texts = [" ".join(rng.choice(vocab[k // 20:k // 20 + 200]) for _ in range(rng.randint(1, 70))) for k in range(3000)] + [None, "", "!"]
+    docs = spark.createDataFrame([(None if k % 50 == 0 else k % 2900, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    bench = tables[1].limit(20)
+    df = decontam.document_frequency(docs)
+    idf, g = decontam.idf_of(df), decontam._gaussian()
+
+    def sketch(rows):
+        total = np.zeros((decontam.VOCAB, decontam.RANK))
+        for t in rows:
+            h = (text.hashed_words(pa.array([t], pa.string()), text.ALNUM).hashes % np.uint64(decontam.VOCAB)).astype(int).tolist()
+            for at in range(0, len(h), decontam.FIT_PASSAGE):
+                a = np.zeros(decontam.VOCAB)
+                for b in h[at:at + decontam.FIT_PASSAGE]:
+                    a[b] += idf[b]
+                some = np.flatnonzero(a)
+                a = a[some] / np.linalg.norm(a)
+                total[some] += a[:, None] * (a @ g[some])
+        return total
+
+    one, own = sketch(texts), sketch([r.text for r in bench.collect()])
+    want = np.linalg.qr(one + decontam.OUTWEIGH * np.linalg.norm(one) / np.linalg.norm(own) * own)[0]
+    got = decontam.fit(docs, bench, df) / idf[:, None]
+    assert np.linalg.svd(want.T @ got, compute_uv=False).min() > 0.999

@@ -2,9 +2,9 @@
 
 Words are lower-cased runs of letters and digits, hashed to ``VOCAB`` buckets and weighted by squared inverse
 document frequency over all documents.  A randomised SVD of the TF-IDF passages (A'(A G) with a random
-G, orthonormalised) gives a basis of ``RANK`` dimensions; it is fitted on the passages of at most
-``FIT_DOCS`` documents (those of the least hash of doc_id) and on the whole benchmark, whose passages are
-weighted to outweigh them (``OUTWEIGH`` times their norm), so that the basis tells its items apart.  Every document is searched:
+G, orthonormalised) gives a basis of ``RANK`` dimensions; it is fitted on the passages of all documents
+and of the whole benchmark, which are weighted to outweigh the documents' (``OUTWEIGH`` times their norm), so that the basis
+tells its items apart.  Every document is searched:
 windows of about an item's length, a quarter of it apart, are projected by running sums and
 compared by cosine with all items of that length.  Candidates of cosine ``COSINE`` and more are
 verified on the words themselves: the longest common subsequence of the item with the window and its
@@ -32,11 +32,10 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from vellum.llm import job, text
 
-VOCAB, RANK, FIT_DOCS, FIT_PASSAGE = 1 << 14, 64, 1500, 32
+VOCAB, RANK, FIT_PASSAGE = 1 << 14, 64, 32
 COSINE, COVER, COVER_ANSWER, ANSWER, MIN_WORDS = 0.78, 0.7, 0.5, 3, 8
 BLOCK_ITEMS, BLOCK_WORDS = 1024, 1 << 18
 OUTWEIGH = 3.0
@@ -72,23 +71,47 @@ def idf_of(df: np.ndarray) -> np.ndarray:
 
 @cache
 def _gaussian() -> np.ndarray:
-    return np.random.default_rng(17).normal(size=(VOCAB, RANK))
+    return np.random.default_rng(17).normal(size=(VOCAB, RANK)).astype(np.float32)
+
+
+def _sums(rows: np.ndarray, index: np.ndarray, starts: np.ndarray, width: int = 8) -> np.ndarray:
+    """Sums of rows[index] over the segments that begin at ``starts``: ``width`` at a time, then the sums of these, and so on."""
+    while True:
+        rows = np.concatenate([rows, np.zeros((1, rows.shape[1]), np.float32)])
+        size = np.diff(starts, append=len(index))
+        per = -(-size // width)
+        ptr = np.cumsum(per) - per
+        grid = np.full(int(per.sum()) * width, len(rows) - 1)
+        grid[np.arange(len(index)) + np.repeat(ptr * width - starts, size)] = index
+        grid = grid.reshape(-1, width)
+        out = np.empty((len(grid), rows.shape[1]), np.float32)
+        for i in range(0, len(grid), 512):
+            some, part = np.ascontiguousarray(grid[i:i + 512].T), out[i:i + 512]
+            np.take(rows, some[0], axis=0, out=part, mode="clip")
+            for k in range(1, width):
+                part += np.take(rows, some[k], axis=0, mode="clip")
+        if per.max() <= 1:
+            return out
+        rows, index, starts = out, np.arange(len(out)), ptr
 
 
 def _sketch(total: np.ndarray, buckets: np.ndarray, passage: np.ndarray, idf: np.ndarray, g: np.ndarray) -> None:
-    """Adds A'(A G) of unit-length passages to ``total`` [VOCAB, RANK], and their number to nothing."""
+    """Adds A'(A G) of unit-length passages to ``total`` [VOCAB, RANK].  g: the rows of G times ``idf``."""
     if not len(buckets):
         return
     n = int(passage[-1]) + 1
-    key, tf = np.unique(passage * VOCAB + buckets, return_counts=True)
-    p, b = key // VOCAB, key % VOCAB
-    w = tf * idf[b]
-    norm = np.sqrt(np.bincount(p, w * w, n))
-    w = w / np.maximum(norm[p], 1e-12)
-    y = np.zeros((n, RANK))
-    first = np.flatnonzero(np.diff(p, prepend=-1))
-    y[p[first]] = np.add.reduceat(w[:, None] * g[b], first, axis=0)
-    np.add.at(total, b, w[:, None] * y[p])
+    key = np.sort(passage * VOCAB + buckets)
+    at = np.flatnonzero(np.diff(key, prepend=-1))
+    w = np.diff(at, append=len(key)) * idf[key[at] % VOCAB]
+    square = np.bincount(key[at] // VOCAB, w * w, n)
+    first = np.flatnonzero(np.diff(passage, prepend=-1))
+    own = passage[first]
+    y = np.zeros((n, RANK), np.float32)
+    y[own] = _sums(g, buckets, first) / square[own][:, None]
+    order = np.argsort(buckets.astype(np.uint16), kind="stable")
+    first = np.flatnonzero(np.diff(buckets[order], prepend=-1))
+    own = buckets[order[first]]
+    total[own] += _sums(y, passage[order], first) * idf[own][:, None]
 
 
 def _passages(c: text.Hashed) -> np.ndarray:
@@ -105,15 +128,14 @@ def fit(docs: DataFrame, benchmark: DataFrame, df: np.ndarray) -> np.ndarray:
     """[VOCAB, RANK]: a word's weighted place in the latent space."""
     idf = idf_of(df)
     shared = docs.sparkSession.sparkContext.broadcast(idf)
-    chosen = docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS)
-    ids = [r[0] for r in chosen.collect()]
 
     def fill(total: np.ndarray, batch: pa.RecordBatch) -> None:
-        for part in text.slices(batch, size=1_000_000):
+        g = (_gaussian() * shared.value[:, None]).astype(np.float32)
+        for part in text.slices(batch, size=2_000_000):
             c = text.hashed_words(part.column("text"), text.ALNUM)
-            _sketch(total, _buckets(c), _passages(c), shared.value, _gaussian())
+            _sketch(total, _buckets(c), _passages(c), shared.value, g)
 
-    total = job.summed(docs.where(F.col("doc_id").isin(ids)), ["text"], fill, (VOCAB, RANK), 512) if ids else np.zeros((VOCAB, RANK))
+    total = job.summed(docs, ["text"], fill, (VOCAB, RANK), 512)
     own = job.summed(benchmark, ["text"], fill, (VOCAB, RANK), 512)
     weight = OUTWEIGH * np.linalg.norm(total) / max(np.linalg.norm(own), 1e-12) if total.any() else 1.0
     q, _ = np.linalg.qr(total + weight * own)
