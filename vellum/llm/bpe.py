@@ -226,7 +226,7 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
-def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
+def digest(docs: DataFrame, path: str | None = None, size: int = 4_000_000) -> DataFrame:
     """One row per document: the count and digest of its ids, and the digest of the text that
     they decode to.  Needs ``doc_id`` and ``text``; no shuffle."""
     at = path or default_path()
@@ -234,7 +234,7 @@ def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(at)
         for batch in batches:
-            for part in text.slices(batch, size=4_000_000):
+            for part in text.slices(batch, size=size):
                 ids, ptr = bpe.encode_column(part.column("text"))
                 raw, off = bpe.decode_flat(ids, ptr)
                 wire, out = memoryview(ids.astype("<u4").tobytes()), memoryview(np.ascontiguousarray(raw))
@@ -267,5 +267,5 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the digests of every document, with its lang and source."""
-    job.arrow_batches(spark)
-    return digest(docs)
+    job.arrow_batches(spark, job.STAGE_BATCH)
+    return digest(docs, size=job.STAGE_SLICE)

@@ -384,7 +384,7 @@ def op8_latent_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold a benchmark passage go."""
-    job.arrow_batches(spark)
+    job.arrow_batches(spark, job.STAGE_BATCH)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     latent = fit(docs, benchmark, document_frequency(docs))
 
@@ -393,7 +393,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in text.slices(batch):
+                for part in text.slices(batch, size=job.STAGE_SLICE):
                     bad = {r for r, *_ in search(shared.value, part.column("text"))}
                     yield part.filter(pa.array([i not in bad for i in range(part.num_rows)], pa.bool_()))
 

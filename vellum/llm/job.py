@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 SCANS_A_TASK, FAN_IN = 4, 64
 #: Bytes of a materialised table up to which it may be broadcast.
 BROADCAST_BYTES = 8 << 20
+#: Bytes of an Arrow batch, and of a slice of texts, in the pipeline's stages: there executors and workers
+#: live on from stage to stage and hold what earlier ones left, so a stage gets less room than a query of its own.
+STAGE_BATCH, STAGE_SLICE = 6 << 20, 2_000_000
 _OWN: dict[str, str] = {}
 
 
@@ -59,10 +62,10 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if size_of(df) <= limit else df
 
 
-def arrow_batches(spark: SparkSession) -> None:
+def arrow_batches(spark: SparkSession, size: int = 24 << 20) -> None:
     """Bounds the Arrow batches that Python workers get, by rows and by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(24 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -313,28 +313,33 @@ def op3_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, fit(docs))
 
 
+def relabelled(model: Model | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows that have a language, with it as lang."""
+    if model is None:
+        return
+    for batch in batches:
+        lang_at = batch.schema.get_field_index("lang")
+        for part in text.slices(batch, size=job.STAGE_SLICE):
+            m, ptr = word_marginals(model, part.column("text"))[:2]
+            words = np.diff(ptr)
+            some = np.flatnonzero(words)
+            if not len(some):
+                continue
+            best = (np.add.reduceat(m, ptr[some], axis=0, dtype=np.float64) / words[some][:, None]).argmax(1)
+            del m  # before the next slice's
+            kept = part.take(pa.array(some))
+            lang = pa.array([model.langs[b] for b in best.tolist()], pa.string())
+            columns = [lang if i == lang_at else kept.column(i) for i in range(kept.num_columns)]
+            yield pa.record_batch(columns, schema=part.schema.set(lang_at, pa.field("lang", pa.string())))
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without a recognisable language (``und``) go; lang becomes the
     predicted one.  Predictions are made beside the rows, so nothing is joined."""
-    job.arrow_batches(spark)
+    job.arrow_batches(spark, job.STAGE_BATCH)
     shared = spark.sparkContext.broadcast(fit(docs))
-    lang_at = docs.columns.index("lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            for part in text.slices(batch):
-                if model is None:
-                    continue
-                m, ptr, _, _ = word_marginals(model, part.column("text"))
-                words = np.diff(ptr)
-                some = np.flatnonzero(words)
-                if not len(some):
-                    continue
-                best = (np.add.reduceat(m, ptr[some], axis=0, dtype=np.float64) / words[some][:, None]).argmax(1)
-                kept = part.take(pa.array(some))
-                lang = pa.array([model.langs[b] for b in best.tolist()], pa.string())
-                columns = [lang if i == lang_at else kept.column(i) for i in range(kept.num_columns)]
-                yield pa.record_batch(columns, schema=part.schema.set(lang_at, pa.field("lang", pa.string())))
+        yield from relabelled(shared.value, batches)
 
     return docs.mapInArrow(text.tidy(run), docs.schema)
