@@ -48,3 +48,13 @@ def test_edges(spark, tmp_path):
     assert ids.count(None) >= 1 and ids.count(9_000_005) <= 1
     free = [r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/free").collect()]
     assert free.count(9_000_005) == 1 and 9_000_001 not in free
+
+
+def test_decontamination_learns_from_all_rows(spark, monkeypatch):
+    """Frequencies and basis are of every row that the stage gets, those without a doc_id too."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    docs = docs.union(docs.selectExpr("cast(null as bigint)", "text", "lang", "source", "n_chars"))
+    seen, real = [], decontam.job.summed
+    monkeypatch.setattr(decontam.job, "summed", lambda df, *a: seen.append(df.count()) or real(df, *a))
+    decontam.stage(spark, docs, SF)
+    assert seen[:2] == [80, 80]
