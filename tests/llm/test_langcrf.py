@@ -133,3 +133,62 @@ def test_stage_memory(docs, model):
     assert out == batch.num_rows and peak < 46_000_000
     want = langs[:rows.num_rows]
     assert langs == want * (batch.num_rows // rows.num_rows)
+
+
+def test_stage_learns_from_all_rows(spark, monkeypatch):
+    """Languages that only rows without doc_id, held-out ids, long texts or documents beyond any sample have, by the driver and by jobs."""
+    held = [i for i in range(2000) if text.crc_of_id(i) % 5 == 0][:30]
+    free = [i for i in range(2000) if text.crc_of_id(i) % 5][:400]
+    rng = np.random.default_rng(2)
+
+    def some(letters, n):
+        return " ".join("".join(rng.choice(list(letters), 4)) for _ in range(n))
+
+    rows = [(i, some("abc", 20), "aa") for i in free] + [(None, some("def", 20), "bb") for _ in range(30)] + [(5, some("ghi", 25_000), "cc")] + [(i, some("jkl", 20), "dd") for i in held]
+    rows += [(None, None, "ee"), (7, "12", "ff"), (8, some("abc", 9), None)]
+    df = spark.createDataFrame([(i, t, x, x) for i, t, x in rows], "doc_id bigint, text string, lang string, source string")
+    models = []
+    for limit in (langcrf.job.BROADCAST_BYTES, -1):
+        monkeypatch.setattr(langcrf.job, "BROADCAST_BYTES", limit)
+        out = langcrf.stage(spark, df, "").collect()
+        assert len(out) == len(rows) - 2 and {(r.source, r.lang) for r in out} == {*((x, x) for x in ("aa", "bb", "cc", "dd")), (None, "aa")}
+        models.append(langcrf.fit_all(df))
+    assert np.allclose(models[0].weight, models[1].weight) and np.allclose(models[0].trans, models[1].trans)
+    assert langcrf.fit_all(df.where("text is null or lang is null")) is None and langcrf.fit_all(df.where("lang = 'ff'")) is None
+
+
+def test_lexicon_counts_all_words(spark, docs):
+    count = {}
+    for r in docs.collect():
+        c = text.words(pa.array([r.text or ""], pa.large_string()))
+        for k in c.codes:
+            own = count.setdefault(c.pieces[k], {})
+            own[r.lang] = own.get(r.lang, 0) + 1
+    langs = sorted({r.lang for r in docs.select("lang").collect()})
+    want = {}
+    for word, own in count.items():
+        top = max(own, key=own.get)
+        if sum(own.values()) >= langcrf.LEX_COUNT and own[top] >= langcrf.LEX_SHARE * sum(own.values()):
+            want[word] = langs.index(top)
+    coded = langcrf.chunks(docs, langs)
+    assert coded.agg(F.sum("n")).first()[0] == sum(n for own in count.values() for n in own.values())
+    got = langcrf.lexicon(coded, len(langs))
+    assert len(got.hashes) == len(want) > 1000
+    assert got.of(text.hash_pieces(list(want))).tolist() == list(want.values())
+    assert (got.of(text.hash_pieces([w for w in count if w not in want] + [b"nowhere"])) == -1).all()
+
+
+@pytest.mark.parametrize("total", [1, 63, 64, 65, 500])
+def test_expected_counts_of_chunks(total):
+    """Against marginals(), which enumeration checks."""
+    rng = np.random.default_rng(total)
+    e, codes, trans = rng.normal(size=(9, 3)), rng.integers(0, 9, total), rng.normal(size=(3, 3))
+    grid = np.full(-(-total // langcrf.CHAIN) * langcrf.CHAIN, -1)
+    grid[:total] = codes
+    grid = grid.reshape(-1, langcrf.CHAIN).T
+    mask = grid >= 0
+    m, want_pairs = langcrf.marginals(np.where(mask[..., None], e[grid], 0), trans, mask)
+    want = np.zeros((9, 3))
+    np.add.at(want, grid[mask], m[mask])
+    got, pairs = langcrf.expected_counts(np.exp(e), codes, trans)
+    assert np.allclose(got, want) and np.allclose(pairs, want_pairs)

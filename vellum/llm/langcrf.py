@@ -14,8 +14,13 @@ of doc_id among documents that are not held out and have at most ``LONGEST`` cha
 each, one at least, if all languages together have more than ``TRAIN_DOCS``; every
 document is predicted, whole.  Memory grows with the longest text, by a number for each of its words and language.
 
+The pipeline's stage has no held-out documents and no sample: ``fit_all`` learns from every row with a text and a lang.  Rows are
+shuffled, so that chains mix languages however the rows lie, and written once as chunks of coded chains with their distinct words'
+features; each of the ``ROUNDS`` gradients is a sum over all chunks.  Lexicons are of the counts of all words, by 64-bit hashes;
+of what is broadcast they alone grow with the input, by 12 bytes for each word of one language.
+
 Null texts, and texts without a letter, get ``und`` with score 0, as do all texts if there is nothing
-to learn from.  Rows with null lang, or with null doc_id, are never learned from but are
+to learn from.  Rows with null lang are never learned from (nor, but by the stage, those with null doc_id) but are
 predicted.  Ties go to the language that sorts first.  Extra columns are ignored.
 """
 
@@ -32,9 +37,16 @@ from pyspark.sql import functions as F
 from vellum.llm import job, text
 
 DOCS_PER_LANG, TRAIN_DOCS, LONGEST, BUCKETS, ROUNDS = 150, 20_000, 100_000, 1 << 15, 40
-#: Occurrences in the sample, and share of them in one language, that put a word into a lexicon.
+#: Occurrences in what is learned from, and share of them in one language, that put a word into a lexicon.
 LEX_COUNT, LEX_SHARE = 3, 0.9
 UNKNOWN = "und"
+#: Words of a training chain in a chunk; a chunk's words, their distinct ones with features, (word, language) counts, and transitions;
+#: what the gradients need of it, with lexicons.
+CHAIN = 64
+CHUNK = "n bigint, codes binary, hashes binary, feats binary, sizes binary, keys binary, counts binary, seen binary"
+CODED = "codes binary, feats binary, sizes binary, lex binary"
+#: Rows of chunks that a Parquet reader decodes at once.
+READ_ROWS = "1"
 OUT = "doc_id bigint, held_out boolean, lang_pred string, score double, n_words bigint, n_switches bigint"
 
 
@@ -53,11 +65,37 @@ class Model:
             to = min(len(pieces), at + 50_000)
             part = self.weight[feats[ptr[at]:ptr[to]]]
             out[at:to] = np.add.reduceat(part, ptr[at:to] - ptr[at], axis=0)
-        get = self.lexicon.get
-        lex = np.fromiter((get(p, -1) for p in pieces), np.int64, len(pieces))
+        lex = self.lexicons_of(pieces)
         out[lex >= 0] += self.lex_weight[lex[lex >= 0]]
         return out
 
+    def lexicons_of(self, pieces: list[bytes]) -> np.ndarray:
+        """The language in whose lexicon each word is, or -1."""
+        get = self.lexicon.get
+        return np.fromiter((get(p, -1) for p in pieces), np.int64, len(pieces))
+
+
+@dataclass
+class Lexicon:
+    """Words by their hashes (rising), each with its language."""
+
+    hashes: np.ndarray
+    langs: np.ndarray
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.langs[at], -1)
+
+
+@dataclass
+class WholeModel(Model):
+    lexicon: Lexicon
+
+    def lexicons_of(self, pieces: list[bytes]) -> np.ndarray:
+        return self.lexicon.of(text.hash_pieces(pieces))
+
 
 def features(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of each word, one after another, and words + 1 places in them."""
@@ -246,6 +284,210 @@ def fit(docs: DataFrame, per_lang: int = DOCS_PER_LANG) -> Model | None:
     return train([r.text for r in rows], [r.lang for r in rows])
 
 
+def chunk(col: pa.Array, y_doc: np.ndarray, n_lang: int, seed: int = 3) -> tuple | None:
+    """A row of ``CHUNK`` for some texts and their languages: fragments in random order, joined to chains of ``CHAIN`` words."""
+    c = text.words(col)
+    total = len(c.codes)
+    if not total:
+        return None
+    rng = np.random.default_rng(seed)
+    starts = np.unique(np.concatenate([np.cumsum(rng.integers(4, 25, total // 4 + 1)), c.ptr]))
+    starts = starts[starts < total]
+    mixed = rng.permutation(len(starts))
+    order = text.ragged_take(np.arange(total), starts[mixed], np.diff(starts, append=total)[mixed])
+    y = y_doc.astype(np.int32)[c.docs]
+    hot = np.bincount(c.codes * n_lang + y, minlength=len(c.pieces) * n_lang)
+    keys = np.flatnonzero(hot)
+    y = y[order]
+    inside = np.flatnonzero(np.arange(1, total) % CHAIN)
+    seen = np.bincount(y[inside] * n_lang + y[inside + 1], minlength=n_lang * n_lang)
+    feats, sizes = [], []
+    for at in range(0, len(c.pieces), 20_000):
+        f, ptr = features(c.pieces[at:at + 20_000])
+        feats.append(f.astype(np.uint16))
+        sizes.append(np.diff(ptr).astype(np.int32))
+    arrays = (c.codes[order].astype(np.int32), text.hash_pieces(c.pieces), np.concatenate(feats), np.concatenate(sizes), keys, hot[keys], seen)
+    return total, *(a.tobytes() for a in arrays)
+
+
+def chunks(docs: DataFrame, langs: list[str]) -> DataFrame:
+    """All texts as coded chains.  docs: doc_id, text, lang.  Rows meet in an order of hashes."""
+    spark = docs.sparkSession
+    n = max(2 * spark.sparkContext.defaultParallelism, docs.rdd.getNumPartitions())
+    mixed = docs.select("text", "lang", F.xxhash64("doc_id", "text", F.spark_partition_id()).alias("mix"))
+    mixed = mixed.repartition(n, "mix").sortWithinPartitions("mix").select("text", "lang")
+    index = {x: i for i, x in enumerate(langs)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # Whole batches: the fewer chunks, the less often a word's features are added up.
+            row = chunk(batch.column("text"), np.array([index[x] for x in batch.column("lang").to_pylist()]), len(langs))
+            if row:
+                yield _row(row, CHUNK)
+
+    return mixed.mapInArrow(text.tidy(run), CHUNK)
+
+
+def _row(values: tuple, kind: str) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([v], pa.int64() if isinstance(v, int) else pa.binary()) for v in values], names=[f.split()[0] for f in kind.split(", ")])
+
+
+def _arrays(batch: pa.RecordBatch, **kinds) -> Iterator[list[np.ndarray]]:
+    for row in zip(*(batch.column(name) for name in kinds)):
+        yield [np.frombuffer(v.as_buffer(), kind) for v, kind in zip(row, kinds.values())]
+
+
+def lexicon(coded: DataFrame, n_lang: int) -> Lexicon:
+    """The words of ``LEX_COUNT`` and more in all chunks that have ``LEX_SHARE`` of them in one language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h, keys, counts in _arrays(batch, hashes=np.uint64, keys=np.int64, counts=np.int64):
+                yield pa.record_batch([pa.array(h[keys // n_lang].view(np.int64)), pa.array(keys % n_lang), pa.array(counts)], names=["h", "y", "n"])
+
+    words = coded.select("hashes", "keys", "counts").mapInArrow(text.tidy(run), "h bigint, y bigint, n bigint")
+    words = words.groupBy("h", "y").agg(F.sum("n").alias("n")).groupBy("h").agg(F.sum("n").alias("n"), F.max(F.struct("n", "y")).alias("top"))
+    found = words.where((F.col("n") >= LEX_COUNT) & (F.col("top.n") >= LEX_SHARE * F.col("n"))).select("h", F.col("top.y").cast("int").alias("y")).toArrow()
+    h = found.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    return Lexicon(h[order], found.column("y").to_numpy()[order])
+
+
+def expected_counts(weight: np.ndarray, codes: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The model's expected counts of languages of each distinct word, and of transitions, in chains of ``CHAIN``
+    words, all side by side.  weight: exp(emission) of each distinct word; codes: the words."""
+    total, (n_words, n_lang) = len(codes), weight.shape
+    n = -(-total // CHAIN)
+    short = total - (n - 1) * CHAIN  # words of the last chain
+    grid = np.zeros(n * CHAIN, np.int64)
+    grid[:total] = codes
+    grid = np.ascontiguousarray(grid.reshape(n, CHAIN).T)
+    a, w = np.exp(trans - trans.max()), np.ascontiguousarray(weight.T)
+    a_t = np.ascontiguousarray(a.T)
+    p = np.take(w, grid, axis=1)
+    out = np.empty((n_lang, CHAIN, n), w.dtype)
+    x = p[:, 0] / p[:, 0].sum(0)
+    out[:, 0] = x
+    for t in range(1, CHAIN):
+        x = a_t @ x
+        x *= p[:, t]
+        x /= x.sum(0)
+        out[:, t] = x
+    pairs = np.zeros((n_lang, n_lang))
+    back = np.ones((n_lang, n), w.dtype)
+    for t in range(CHAIN - 1, 0, -1):
+        y = back * p[:, t]
+        back = a @ y
+        x = np.ascontiguousarray(out[:, t - 1])
+        m = x * back
+        norm = m.sum(0)
+        m /= norm
+        y /= norm
+        back /= back.sum(0)
+        if t >= short:  # nothing follows the last chain's end
+            m[:, -1], back[:, -1], y[:, -1] = x[:, -1], 1, 0
+        pairs += a * (x @ y.T)
+        out[:, t - 1] = m
+    out[:, short:, -1] = 0
+    grid = grid.ravel()
+    return np.stack([np.bincount(grid, out[k].ravel(), n_words) for k in range(n_lang)], 1), pairs
+
+
+def _add(total: np.ndarray, table: np.ndarray, pairs: np.ndarray, feats: np.ndarray, sizes: np.ndarray, lex: np.ndarray) -> None:
+    """Adds counts of distinct words [words, L] to those of their features and lexicons, and counts of transitions."""
+    n_lang = table.shape[1]
+    feats = feats.astype(np.int64)
+    for k in range(n_lang):
+        total[:BUCKETS, k] += np.bincount(feats, np.repeat(table[:, k], sizes), BUCKETS)
+        total[BUCKETS:BUCKETS + n_lang, k] += np.bincount(lex[lex >= 0], table[lex >= 0, k], n_lang)
+    total[BUCKETS + n_lang:] += pairs
+
+
+def fit_all(docs: DataFrame) -> Model | None:
+    """The model of all rows that have a text and a lang; needs doc_id, too.  The same steps as in train()."""
+    spark = docs.sparkSession
+    usable = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
+    langs = sorted(r["lang"] for r in usable.select("lang").distinct().collect())
+    if not langs:
+        return None
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    before, paths = spark.conf.get(key), [job.new_path(spark, "langcrf-chunks"), job.new_path(spark, "langcrf-coded")]
+    spark.conf.set(key, READ_ROWS)
+    try:
+        return _fit_all(usable, langs, *paths)
+    finally:
+        spark.conf.set(key, before)
+        for path in paths:
+            job.remove(spark, path)
+
+
+def _fit_all(docs: DataFrame, langs: list[str], path: str, coded_path: str) -> Model | None:
+    """Chunks whose files are small are worked on by the driver, else each gradient is a job."""
+    spark, n_lang = docs.sparkSession, len(langs)
+    shape = (BUCKETS + 2 * n_lang, n_lang)
+    chunks(docs, langs).write.option("compression", "zstd").parquet(path)
+    rows = spark.read.schema(CHUNK).parquet(path)
+    n = rows.agg(F.sum("n")).first()[0]
+    if not n:
+        return None
+    lex = lexicon(rows, n_lang)
+    known = spark.sparkContext.broadcast(lex)
+
+    def with_lexicons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for codes, h, feats, sizes in _arrays(batch, codes=np.int32, hashes=np.uint64, feats=np.uint16, sizes=np.int32):
+                yield _row(tuple(a.tobytes() for a in (codes, feats, sizes, known.value.of(h).astype(np.int32))), CODED)
+
+    def gold(total: np.ndarray, batch: pa.RecordBatch) -> None:
+        kinds = {"hashes": np.uint64, "feats": np.uint16, "sizes": np.int32, "keys": np.int64, "counts": np.int64, "seen": np.int64}
+        for h, feats, sizes, keys, counts, seen in _arrays(batch, **kinds):
+            table = np.zeros(len(h) * n_lang)
+            table[keys] = counts
+            _add(total, table.reshape(-1, n_lang), seen.reshape(n_lang, n_lang), feats, sizes, known.value.of(h))
+
+    want = job.summed(rows, ["hashes", "feats", "sizes", "keys", "counts", "seen"], gold, shape)
+    rows.select("codes", "hashes", "feats", "sizes").mapInArrow(text.tidy(with_lexicons), CODED).write.option("compression", "zstd").parquet(coded_path)
+    job.remove(spark, path)
+    known.destroy()
+    coded = spark.read.schema(CODED).parquet(coded_path)
+    local = coded.toArrow().to_batches() if job.size_of(coded) <= job.BROADCAST_BYTES else None
+    w, lw, tr = np.zeros((BUCKETS, n_lang)), np.zeros((n_lang, n_lang)), np.zeros((n_lang, n_lang))
+    gw, glw, gtr = np.full_like(w, 1e-6), np.full_like(lw, 1e-6), np.full_like(tr, 1e-6)
+    rate = 0.5
+    for _ in range(ROUNDS):
+        now = [a.astype(np.float32) for a in (w, lw, tr)]
+        if local is None:
+            shared = spark.sparkContext.broadcast(now)
+            got = job.summed(coded, coded.columns, lambda total, batch, shared=shared: _expect(total, batch, *shared.value), shape)
+            shared.destroy()
+        else:
+            got = np.zeros(shape)
+            for batch in local:
+                _expect(got, batch, *now)
+        left = want - got
+        step = left[:BUCKETS] / (n / 1000) - 1e-4 * w
+        gw += step**2
+        w += rate * step / np.sqrt(gw)
+        step = left[BUCKETS:BUCKETS + n_lang] / (n / 1000)
+        glw += step**2
+        lw += rate * step / np.sqrt(glw)
+        step = left[BUCKETS + n_lang:] / n - 1e-4 * tr
+        gtr += step**2
+        tr += rate * step / np.sqrt(gtr)
+    return WholeModel(langs, w.astype(np.float32), lw.astype(np.float32), tr.astype(np.float32), lex)
+
+
+def _expect(total: np.ndarray, batch: pa.RecordBatch, w: np.ndarray, lw: np.ndarray, tr: np.ndarray) -> None:
+    """Adds what a model expects of rows of ``CODED``."""
+    columns = np.ascontiguousarray(w.T)
+    for codes, feats, sizes, lex in _arrays(batch, codes=np.int32, feats=np.uint16, sizes=np.int32, lex=np.int32):
+        at = np.cumsum(sizes) - sizes
+        e = np.stack([np.add.reduceat(np.take(c, feats), at) for c in columns], 1)
+        e[lex >= 0] += lw[lex[lex >= 0]]
+        table, pairs = expected_counts(np.exp(e - e.max(axis=1, keepdims=True)), codes, tr)
+        _add(total, table, pairs, feats, sizes, lex)
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
@@ -335,9 +577,9 @@ def relabelled(model: Model | None, batches: Iterator[pa.RecordBatch]) -> Iterat
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without a recognisable language (``und``) go; lang becomes the
-    predicted one.  Predictions are made beside the rows, so nothing is joined."""
+    predicted one, by a model of all rows.  Predictions are made beside the rows, so nothing is joined."""
     job.arrow_batches(spark, job.STAGE_BATCH)
-    shared = spark.sparkContext.broadcast(fit(docs))
+    shared = spark.sparkContext.broadcast(fit_all(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from relabelled(shared.value, batches)
