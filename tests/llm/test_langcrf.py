@@ -1,9 +1,11 @@
 """The language field: exact marginals against enumeration, held-out accuracy, code-switching."""
 
 import itertools
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,6 +159,30 @@ def test_stage_learns_from_all_rows(spark, monkeypatch):
     assert langcrf.fit_all(df.where("text is null or lang is null")) is None and langcrf.fit_all(df.where("lang = 'ff'")) is None
 
 
+def test_chunks_memory_is_bounded(spark, monkeypatch, tmp_path):
+    """What a task holds doesn't grow with the input: row groups end by size after any row, and tasks get more with the files' bytes."""
+    paths, real = [], langcrf.job.new_path
+    monkeypatch.setattr(langcrf.job, "new_path", lambda *a: paths.append(real(*a)) or paths[-1])
+    monkeypatch.setattr(langcrf.job, "remove", lambda *a: None)
+    monkeypatch.setattr(langcrf, "ROUNDS", 1)
+    monkeypatch.setitem(langcrf.WRITTEN, "parquet.block.size", 1 << 16)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1")
+    df = spark.range(400).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 4000), k -> concat('w', translate(cast(xxhash64(id, k) % 999 as string), '-0123456789', 'xabcdefghij')))) as text", "'xx' as lang")
+    langcrf.fit_all(df)
+    spark.conf.set(key, before)
+    for path in paths:
+        files = [pq.ParquetFile(f) for f in Path(path.removeprefix("file://")).glob("*.parquet")]
+        assert sum(f.metadata.num_rows for f in files) == 400
+        assert max(f.metadata.row_group(i).num_rows for f in files for i in range(f.num_row_groups)) < 20
+    df.write.parquet(at := str(tmp_path / "docs"))
+    docs = spark.read.parquet(at)
+    few = langcrf.chunks(docs, ["xx"]).rdd.getNumPartitions()
+    monkeypatch.setattr(langcrf, "TASK_BYTES", langcrf.job.size_of(docs) // (3 * few))
+    assert langcrf.chunks(docs, ["xx"]).rdd.getNumPartitions() >= 3 * few
+
+
 def test_lexicon_counts_all_words(spark, docs):
     count = {}
     for r in docs.collect():

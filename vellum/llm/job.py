@@ -47,7 +47,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def size_of(df: DataFrame) -> int:
-    """Bytes of the files of a written() table."""
+    """Bytes of the files that a table is read from; 0 if there are none."""
     spark = df.sparkSession
     total = 0
     for f in df.inputFiles():

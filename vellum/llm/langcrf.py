@@ -47,6 +47,12 @@ CHUNK = "n bigint, codes binary, hashes binary, feats binary, sizes binary, keys
 CODED = "codes binary, feats binary, sizes binary, lex binary"
 #: Rows of chunks that a Parquet reader decodes at once.
 READ_ROWS = "1"
+#: Bytes of files whose texts one task makes chunks of.
+TASK_BYTES = 16 << 20
+#: How chunks are written.  A row is megabytes: by default Parquet looks at sizes after a hundred rows only, so that a page, which its
+#: readers hold whole, would grow with a task's texts.
+WRITTEN = {"compression": "zstd", "parquet.block.size": 16 << 20, "parquet.page.size.check.estimate": "false"} | {
+    f"parquet.{what}.size.row.check.{end}": 1 for what in ("block", "page") for end in ("min", "max")}
 OUT = "doc_id bigint, held_out boolean, lang_pred string, score double, n_words bigint, n_switches bigint"
 
 
@@ -313,7 +319,7 @@ def chunk(col: pa.Array, y_doc: np.ndarray, n_lang: int, seed: int = 3) -> tuple
 def chunks(docs: DataFrame, langs: list[str]) -> DataFrame:
     """All texts as coded chains.  docs: doc_id, text, lang.  Rows meet in an order of hashes."""
     spark = docs.sparkSession
-    n = max(2 * spark.sparkContext.defaultParallelism, docs.rdd.getNumPartitions())
+    n = max(2 * spark.sparkContext.defaultParallelism, docs.rdd.getNumPartitions(), -(-job.size_of(docs) // TASK_BYTES))
     mixed = docs.select("text", "lang", F.xxhash64("doc_id", "text", F.spark_partition_id()).alias("mix"))
     mixed = mixed.repartition(n, "mix").sortWithinPartitions("mix").select("text", "lang")
     index = {x: i for i, x in enumerate(langs)}
@@ -425,7 +431,7 @@ def _fit_all(docs: DataFrame, langs: list[str], path: str, coded_path: str) -> M
     """Chunks whose files are small are worked on by the driver, else each gradient is a job."""
     spark, n_lang = docs.sparkSession, len(langs)
     shape = (BUCKETS + 2 * n_lang, n_lang)
-    chunks(docs, langs).write.option("compression", "zstd").parquet(path)
+    chunks(docs, langs).write.options(**WRITTEN).parquet(path)
     rows = spark.read.schema(CHUNK).parquet(path)
     n = rows.agg(F.sum("n")).first()[0]
     if not n:
@@ -446,7 +452,7 @@ def _fit_all(docs: DataFrame, langs: list[str], path: str, coded_path: str) -> M
             _add(total, table.reshape(-1, n_lang), seen.reshape(n_lang, n_lang), feats, sizes, known.value.of(h))
 
     want = job.summed(rows, ["hashes", "feats", "sizes", "keys", "counts", "seen"], gold, shape)
-    rows.select("codes", "hashes", "feats", "sizes").mapInArrow(text.tidy(with_lexicons), CODED).write.option("compression", "zstd").parquet(coded_path)
+    rows.select("codes", "hashes", "feats", "sizes").mapInArrow(text.tidy(with_lexicons), CODED).write.options(**WRITTEN).parquet(coded_path)
     job.remove(spark, path)
     known.destroy()
     coded = spark.read.schema(CODED).parquet(coded_path)
