@@ -102,6 +102,15 @@ def test_glossary_over_the_corpus(spark):
     assert all("T" in out[f"d{i}"] and len(out[f"d{i}"]) < len(docs[i][1]) for i in range(1, 8))
 
 
+def test_glossary_takes_one_pass(spark, monkeypatch):
+    """The rules before the phrase rule aren't run again to mine the glossary."""
+    tables, real = [], pipeline.unit_table
+    monkeypatch.setattr(pipeline, "unit_table", lambda state, name, compat: tables.append(name) or real(state, name, compat))
+    docs = [(f"d{i}", "alpha beta gamma delta epsilon here\n") for i in range(6)]
+    out = run(spark, docs, Options(AGGRESSIVE, tree_glossary=True))
+    assert out["d0"].startswith("[gloss] T1=") and sorted(tables) == sorted(pipeline.CROSS)
+
+
 def test_pipeline_equals_single_documents(spark):
     docs = [("a.md", "---\nx: y\n---\n# T\n\n\n\nPlease note that it is so.\n"), ("b.md", ""), ("c.md", "Author: x\n| a   | b |\n|---|---|\n| 1 | 2 |\n")]
     for options in (Options(SAFE), Options(AGGRESSIVE), Options(SAFE, plugins=(Plugin("up", str.upper),))):

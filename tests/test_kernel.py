@@ -111,6 +111,17 @@ def test_lines_and_blocks():
     assert L.count_words("a-b 12 é_ß 日本") == 6 and L.language_of("  ```Go x") == "go"
 
 
+def test_only_lines_with_a_phrase_are_cut_into_words(monkeypatch):
+    seen, real = [], phrases.runs
+    monkeypatch.setattr(phrases, "runs", lambda lines, compat: seen.extend(x.text for x in lines) or real(lines, compat))
+    text = "nothing of it in here\nan alpha  beta\tgamma delta\nalpha `x` beta gamma\nalpha beta, gamma\n"
+    for compat, want in ((False, [1]), (True, [1, 2])):
+        seen.clear()
+        ctx = L.Context(2, "x", 20, compat, {"alpha beta gamma delta": "T1", "alpha beta gamma": "T2"}, "")
+        edits = phrases.factor(text, ctx)
+        assert seen == [text.split("\n")[i] for i in want] and [e.text for e in edits] == ["T1", "T2"][:len(want)]
+
+
 def test_phrases():
     text = "alpha beta gamma delta is good\n" * 6
     out = one("factor-phrase-dictionary", text)

@@ -47,20 +47,11 @@ def glossary(counts: DataFrame, most: int = phrases.MOST_NAMES) -> DataFrame:
     return numbered.select(F.concat(F.lit("T"), F.col("k").cast("string")).alias("name"), "phrase", "n", "gross")
 
 
-def mine_after(docs: DataFrame, options) -> tuple[dict[str, str], str, str | None]:
-    """The glossary of the texts as they are when the phrase rule sees them, the preamble, and the anchor: the
-    document of the least path, which gets the preamble."""
-    from vellum.operators.registry import Options
-    from vellum.plans import pipeline
-
-    before = [r.name for r in options.rules()]
-    later = tuple(before[before.index("factor-phrase-dictionary"):])
-    first = Options(options.tier, options.enabled, (*options.disabled, *later), options.max_lines, options.compat)
-    first = Options(first.tier, tuple(n for n in first.enabled if n not in later), first.disabled, first.max_lines, first.compat)
-    texts = pipeline.compress(docs, first).select(F.col("output").alias("text"))
-    rows = glossary(phrase_counts(texts, phrases.LEAST, options.compat)).collect()
+def mine(state: DataFrame, compat: bool = False) -> tuple[dict[str, str], str, str | None]:
+    """The glossary of the texts (path, text) as the phrase rule sees them, the preamble, and the anchor: the document of
+    the least path, which gets the preamble."""
+    rows = glossary(phrase_counts(state, phrases.LEAST, compat)).collect()
     rows.sort(key=lambda r: int(r["name"][1:]))
     names = {r["phrase"]: r["name"] for r in rows}
     line = "[gloss] " + "; ".join(f"{r['name']}={r['phrase']}" for r in rows) + "\n" if rows else ""
-    anchor = docs.agg(F.min(F.coalesce("path", F.lit("")))).first()[0]
-    return names, line, anchor
+    return names, line, state.agg(F.min("path")).first()[0]

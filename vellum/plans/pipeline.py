@@ -159,8 +159,6 @@ def compress(docs: DataFrame, options: Options = Options()) -> DataFrame:
     state = start(docs)
     crossing = [r for r in rules if r.apply is None]
     glossary = None
-    if options.tree_glossary and any(r.name == "factor-phrase-dictionary" for r in rules):
-        glossary = phrasebook.mine_after(docs, options)
     pending: list[Rule] = []
     if crossing:
         state = store.written(state, "start")
@@ -177,6 +175,10 @@ def compress(docs: DataFrame, options: Options = Options()) -> DataFrame:
         return out
 
     for rule in rules:
+        if options.tree_glossary and rule.name == "factor-phrase-dictionary":
+            # Written, so that the rules before run once, for the glossary and for what follows.
+            state = store.written(flush(state), "state")
+            glossary = phrasebook.mine(state, options.compat)
         if rule.apply is not None:
             pending.append(rule)
             continue
