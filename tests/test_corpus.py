@@ -125,6 +125,15 @@ def test_edges(spark):
     assert pipeline.compress(df.limit(0), Options(AGGRESSIVE)).count() == 0
 
 
+def test_profile_runs_the_rules_once(spark):
+    results = pipeline.compress(frame(spark, [("a", "\n\nx\n\n\n\ny\n")]), Options(SAFE))
+    prof = stats.rule_profile(results)
+    assert prof._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    maps = spark.sql("select map('r', 2, 's', 1) as fires, map('r', 7L) as saved, cast(null as map<string,string>) as errors union all select null, null, map('s', 'x', 't', null)")
+    got = {tuple(r) for r in stats.rule_profile(maps).select("name", "fires", "bytes_saved", "errors", "tokens_saved", "flagged").collect()}
+    assert got == {("r", 2, 7, 0, 1, False), ("s", 1, 0, 1, 0, True), ("t", 0, 0, 1, 0, False)}
+
+
 def test_profile_manifest_and_freshness(spark):
     docs = frame(spark, [("a", "\n\nx\n\n\n\ny\n"), ("b", "Author: me\n"), ("c", "plain\n")])
     results = pipeline.compress(docs, Options(SAFE))

@@ -13,10 +13,11 @@ USD_PER_TOKEN = 3.0 / 1e6
 def rule_profile(results: DataFrame) -> DataFrame:
     """Fires, bytes and estimated tokens saved, and errors of every rule, over the results of ``compress``.  A rule that
     fired and saved nothing is flagged."""
-    maps = [("fires", "fires"), ("saved", "bytes_saved")]
-    parts = [results.select(F.explode(c).alias("name", "x")).select("name", F.lit(n).alias("what"), F.col("x").cast("bigint").alias("x")) for c, n in maps]
-    parts.append(results.select(F.explode("errors").alias("name", "e")).select("name", F.lit("errors").alias("what"), F.lit(1).cast("bigint").alias("x")))
-    flat = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    entry = lambda what, x: lambda e: F.struct(e["key"].alias("name"), F.lit(what).alias("what"), x(e["value"]).cast("bigint").alias("x"))
+    maps = (("fires", "fires", lambda v: v), ("saved", "bytes_saved", lambda v: v), ("errors", "errors", lambda v: F.lit(1)))
+    parts = F.array_compact(F.array(*[F.transform(F.map_entries(c), entry(what, x)) for c, what, x in maps]))
+    # One table of all three, as each branch of a union would run the rules again.
+    flat = results.select(F.explode(F.flatten(parts)).alias("e")).select("e.*")
     pick = lambda n: F.coalesce(F.sum(F.when(F.col("what") == n, F.col("x"))), F.lit(0)).alias(n)
     out = flat.groupBy("name").agg(pick("fires"), pick("bytes_saved"), pick("errors"))
     out = out.withColumn("tokens_saved", F.floor(F.col("bytes_saved") / 4).cast("bigint"))
