@@ -3,6 +3,7 @@
 import os
 import random
 
+import pyarrow as pa
 import pytest
 
 from vellum.operators.registry import AGGRESSIVE, SAFE, Options, Plugin, compress
@@ -111,6 +112,19 @@ def test_glossary_takes_one_pass(spark, monkeypatch):
     assert out["d0"].startswith("[gloss] T1=") and sorted(tables) == sorted(pipeline.CROSS)
 
 
+def test_batches_and_slices_are_bounded_by_bytes(spark):
+    texts = ["x" * 700_000, None, "y" * 3_000_000, "", "z" * 600_000] + ["a"] * 1200
+    got = list(pipeline._slices(pa.record_batch([pa.array(texts)], names=["text"])))
+    assert [t for b in got for t in b.column(0).to_pylist()] == texts
+    assert all(b.num_rows <= 500 and (b.num_rows == 1 or sum(len(t or "") for t in b.column(0).to_pylist()) <= 1 << 20) for b in got) and len(got) == 5
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sizes = spark.range(300).selectExpr("cast(id as string) as path", "repeat('x', 100000) as text").coalesce(1)
+    pipeline.kernel(pipeline.start(sizes), [], Options(SAFE))
+    seen = sizes.mapInArrow(lambda batches: (pa.record_batch([pa.array([b.nbytes])], names=["n"]) for b in batches), "n bigint").collect()
+    assert max(r.n for r in seen) < 6 << 20
+
+
 def test_pipeline_equals_single_documents(spark):
     docs = [("a.md", "---\nx: y\n---\n# T\n\n\n\nPlease note that it is so.\n"), ("b.md", ""), ("c.md", "Author: x\n| a   | b |\n|---|---|\n| 1 | 2 |\n")]
     for options in (Options(SAFE), Options(AGGRESSIVE), Options(SAFE, plugins=(Plugin("up", str.upper),))):

@@ -13,7 +13,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,15 +42,29 @@ CROSS = {
 
 
 def _map(df: DataFrame, fn, schema: str, arrow: pa.Schema) -> DataFrame:
+    store.arrow_batches(df.sparkSession)
+
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                rows = [out for row in batch.slice(at, 500).to_pylist() for out in fn(row)]
+            for part in _slices(batch):
+                rows = [out for row in part.to_pylist() for out in fn(row)]
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+        pa.default_memory_pool().release_unused()  # Python workers live on
 
     return df.mapInArrow(step, schema)
 
 
+def _slices(batch: pa.RecordBatch, rows: int = 500, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most so many rows and about so many bytes of text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))
+        to = min(max(to, at + 1), at + rows)
+        yield batch.slice(at, to - at)
+        at = min(to, batch.num_rows)
+
+
 def _outcome(row: dict) -> Outcome:
     return Outcome(row["text"], dict(row["fires"] or ()), dict(row["saved"] or ()), dict(row["errors"] or ()))
 

@@ -19,6 +19,12 @@ def folder(spark: SparkSession) -> str:
     return (at or _OWN.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="vellum-"))).rstrip("/")
 
 
+def arrow_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches that Python workers get, by rows and by bytes: by default a batch has 10,000 texts of any size."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Written and reread: cuts the lineage, and survives lost executors."""
     path = f"{folder(df.sparkSession)}/md-{name}-{uuid.uuid4().hex}"
