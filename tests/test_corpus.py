@@ -103,6 +103,29 @@ def test_glossary_over_the_corpus(spark):
     assert all("T" in out[f"d{i}"] and len(out[f"d{i}"]) < len(docs[i][1]) for i in range(1, 8))
 
 
+def test_phrases_that_dont_recur_dont_travel(spark):
+    """Exact counts, and a table of hashes that has all phrases that occur often enough and few others."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    book = [" ".join(word() for _ in range(7)) for _ in range(30)]
+    texts = [None, "", "\n"] + ["\n".join(rng.choice(book) if rng.random() < 0.2 else " ".join(word() for _ in range(12)) for _ in range(20)) for _ in range(60)]
+    docs = frame(spark, [(str(i), t) for i, t in enumerate(texts)]).repartition(5)
+    want = {r.phrase: r.n for r in phrasebook.phrase_counts(docs).collect()}
+    for least in (2, 5):
+        often = {p: n for p, n in want.items() if n >= least}
+        assert len(often) > 200 and {r.phrase: r.n for r in phrasebook.phrase_counts(docs, least).collect()} == often
+        table, bits = phrasebook._frequent(docs, least, False)
+        passed = {True: 0, False: 0}
+        for t in texts:
+            words, found = phrasebook._places([t], False, phrasebook._WordHashes())
+            for n, at, g in found:
+                for i, place in zip(at.tolist(), (int(x) >> 64 - bits for x in g)):
+                    if table[place >> 3] >> (place & 7) & 1:
+                        passed[" ".join(words[i:i + n]) in often] += 1
+        assert passed[True] == sum(often.values()) and passed[False] < 0.15 * (sum(want.values()) - passed[True])
+    assert phrasebook.phrase_counts(docs.limit(0), 5).count() == 0
+
+
 def test_glossary_takes_one_pass(spark, monkeypatch):
     """The rules before the phrase rule aren't run again to mine the glossary."""
     tables, real = [], pipeline.unit_table
